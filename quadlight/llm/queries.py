@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlight.llm import packing, simhash
+from quadlight.llm import chat, licenses, packing, quality_rules, simhash, toxicity, url_filter
+from quadlight.llm.common import id_remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +32,87 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = _table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4)
+    model = toxicity.fit_sample(docs, _table(spark, sf_dir, "labels"), remainder != 2)
+    return toxicity.score(docs, model).select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the URL query, host/path: verdict.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+#: Names of listed spam sites: every page of theirs is on the list.
+SPAM_NAMES = r"(^|\.)(spam-farm|cheap-pills|casino|free-money)\."
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.where(url_filter.host(F.col("url")).rlike(SPAM_NAMES)).select("url")
+    return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    records = chat.conversations_as_records(rows.unionByName(extra))
+    done = chat.format_chats(records).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    joined = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_toxicity": op3_toxicity,
+        "op4_license_scan": op4_license_scan,
+        "op5_url_filter": op5_url_filter,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_chat_format": op8_chat_format,
     }
 
 
+def _url_sql() -> str:
+    place = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    name = "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+    rules = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES.items())
+    # Canonical URLs keep the site's name, so a URL has a listed one's form exactly if its site is listed.
+    return f"""
+WITH u AS (SELECT page_id, {name} AS host, {place} AS path FROM pages),
+rules(rule, verdict) AS (VALUES {rules}),
+fits AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u JOIN rules
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, rule[position('/' IN rule):]) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '{SPAM_NAMES}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits ON u.page_id = fits.page_id"""
+
+
+def _chat_sql() -> str:
+    escaped = r"replace(replace(replace({}, '\', '\b'), '<', '\l'), '>', '\g')"
+    return rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) x)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({escaped.format("role")}) + length({escaped.format("text")}) + 16) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": licenses.scan_sql(), "op5_url_filter": _url_sql(), "op8_chat_format": _chat_sql()}
