@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlight.llm import chat, licenses, packing, quality_rules, simhash, toxicity, url_filter
+from quadlight.llm import chat, language_model, licenses, packing, quality_rules, simhash, toxicity, url_filter
 from quadlight.llm.common import id_remainder
 
 
@@ -75,6 +75,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 10) == 0
+    model = language_model.fit(docs.where(~held_out))
+    return language_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op7_quality_rules": op7_quality_rules,
         "op8_chat_format": op8_chat_format,
+        "op9_kneser_ney": op9_kneser_ney,
     }
 
 
