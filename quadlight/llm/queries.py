@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlight.llm import chat, language_model, licenses, packing, quality_rules, simhash, toxicity, url_filter
+from quadlight.llm import chat, decontamination, language_model, licenses, packing, quality_rules, simhash, toxicity, url_filter
 from quadlight.llm.common import id_remainder
 
 
@@ -81,6 +81,10 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_chat_format": op8_chat_format,
         "op9_kneser_ney": op9_kneser_ney,
+        "op10_decontamination": op10_decontamination,
     }
 
 
