@@ -18,8 +18,8 @@ from quadlight.llm.common import SPACE_PATTERN, WORD_PATTERN, staged
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_lower, n_marks) for each row.
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(id_col, the columns ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_lower, n_marks) for each row.
 
     A word is a run without ASCII white space; null texts count as empty. Repeats are found by sorting the hashes of
     the three-word windows of a text, so very long texts cost no more than a sort.
@@ -28,8 +28,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words = F.array_remove(F.split(text, SPACE_PATTERN, -1), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD_PATTERN))
     kept = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
+    names = list(dict.fromkeys([id_col, *keep]))
     first = docs.select(
-        F.col(id_col),
+        *names,
         words.alias("_w"),
         lines.alias("_l"),
         kept(SYMBOLS).alias("n_symbols"),
@@ -39,7 +40,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     window = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.element_at("_w", i), F.element_at("_w", i + 1), F.element_at("_w", i + 2)))
     second = first.select(
-        F.col(id_col),
+        *names,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -58,7 +59,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Windows start at sorted places: each adds the words that the one before it did not hold.
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(at, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    return third.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_lower", "n_marks")
+    return third.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_upper", "n_lower", "n_marks")
 
 
 def base_failed() -> Column:
@@ -111,6 +112,26 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 100) -> t
     return prior, weight
 
 
+def _marked(stats: DataFrame) -> DataFrame:
+    return stats.select("*", *[c.alias(f"_{k}") for k, c in votes().items()])
+
+
+def fit_rules(stats: DataFrame) -> tuple[float, list[float]]:
+    """EM on the documents of ``stats`` that pass the base, counted by their votes (3 ** rules patterns at most)."""
+    counted = _marked(stats.where(~base_failed())).groupBy(*[f"_{k}" for k in votes()]).count().collect()
+    return fit(sorted((tuple(r[:-1]), r[-1]) for r in counted))
+
+
+def apply_rules(stats: DataFrame, fitted: tuple[float, list[float]], least: float = 0.5) -> DataFrame:
+    """``stats`` with base_failed, quality and kept."""
+    prior, weights = fitted
+    odds = F.lit(prior)
+    for k, weight in zip(votes(), weights, strict=False):
+        odds = odds + F.lit(weight) * F.col(f"_{k}")
+    out = _marked(stats).withColumn("base_failed", base_failed()).withColumn("quality", 1 / (1 + F.exp(-odds)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop(*[f"_{k}" for k in votes()])
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, owner: str = "") -> DataFrame:
     """The statistics of each row, with base_failed, quality (posterior probability of good) and kept.
 
@@ -118,15 +139,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     words and fail the base. Repeated rows are judged alike; an empty table gives an empty result; extra columns are
     ignored.
     """
-    rules = votes()
     stats = staged(statistics(docs, id_col, text_col), "quality", owner)
-    marked = stats.select("*", *[c.alias(f"_{k}") for k, c in rules.items()])
-    counted = marked.where(~base_failed()).groupBy(*[f"_{k}" for k in rules]).count().collect()  # 3 ** rules at most
-    patterns = sorted((tuple(r[:-1]), r[-1]) for r in counted)
-    prior, weights = fit(patterns)
-    odds = F.lit(prior)
-    for k, weight in zip(rules, weights, strict=False):
-        odds = odds + F.lit(weight) * F.col(f"_{k}")
-    quality = 1 / (1 + F.exp(-odds))
-    out = marked.withColumn("base_failed", base_failed()).withColumn("quality", quality)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop(*[f"_{k}" for k in rules])
+    return apply_rules(stats, fit_rules(stats), least)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are read twice and never moved."""
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    read = lambda keep: statistics(inner, own[id_col], own[text_col], keep)
+    good = apply_rules(read(inner.columns), fit_rules(read(())), least).where("kept")
+    return good.select(*[F.col(k).alias(c) for c, k in own.items()])

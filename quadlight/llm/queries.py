@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlight.llm import chat, decontamination, language_model, licenses, packing, quality_rules, simhash, toxicity, url_filter
+from quadlight.llm import chat, decontamination, language_model, licenses, packing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 from quadlight.llm.common import id_remainder
 
 
@@ -54,6 +54,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = _table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4)
+    model = quality_classifier.fit_sample(docs, _table(spark, sf_dir, "labels"), remainder != 2)
+    return quality_classifier.score(docs, model).select("doc_id", (remainder == 2).alias("held_out"), "score", "kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_license_scan": op4_license_scan,
         "op5_url_filter": op5_url_filter,
+        "op6_co_training": op6_co_training,
         "op7_quality_rules": op7_quality_rules,
         "op8_chat_format": op8_chat_format,
         "op9_kneser_ney": op9_kneser_ney,
