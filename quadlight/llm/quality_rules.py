@@ -143,10 +143,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return apply_rules(stats, fit_rules(stats), least)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are read twice and never moved."""
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, owner: str = "") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Rows are written once with their statistics: a filter on these would else be pushed below them, and every text
+    statistic computed again for each rule that reads it.
+    """
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    read = lambda keep: statistics(inner, own[id_col], own[text_col], keep)
-    good = apply_rules(read(inner.columns), fit_rules(read(())), least).where("kept")
+    inner = docs.toDF(*own.values())
+    stats = staged(statistics(inner, own[id_col], own[text_col], inner.columns), "quality", owner)
+    good = apply_rules(stats, fit_rules(stats), least).where("kept")
     return good.select(*[F.col(k).alias(c) for c, k in own.items()])
