@@ -84,16 +84,48 @@ class Words:
         return data[: 8 * n].view("<u8"), data[8 * n :].view("<u8")
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of many words at once. The first words met, so mostly the frequent ones, stay in a table."""
         get = self.seen.get
-        found = [get(w) for w in words]
-        if None in found:
-            new = list({w for w, x in zip(words, found, strict=True) if x is None})
-            if len(self.seen) + len(new) > self.MOST:
-                self.seen.clear()
-                new = list(set(words))
-            self.seen.update(zip(new, self.find(np.array([_hash(w) for w in new], np.uint64)).tolist(), strict=True))
-            found = [get(w) for w in words]
-        return np.array(found, np.int64)
+        out = np.array([get(w, -2) for w in words], np.int64)
+        if len(at := np.flatnonzero(out == -2)):
+            place: dict[bytes, int] = {}
+            back = [place.setdefault(words[i], len(place)) for i in at]
+            found = self.find(np.array([_hash(w) for w in place], np.uint64))
+            out[at] = found[back]
+            if room := max(0, self.MOST - len(self.seen)):
+                self.seen.update(zip(list(place)[:room], found[:room].tolist(), strict=False))
+        return out
+
+    def lines(self, texts: list[bytes], block: int = 150_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts as (text, before, after): each word's text and number, and the number of the word before it. Each text
+        begins after its start and ends with its end. Comes in blocks of about ``block`` words."""
+        words: list[bytes] = []
+        owner: list[tuple[int, int]] = []
+        begins: list[int] = []  # where texts begin
+        last = -1
+
+        def block_of() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            nonlocal last
+            after = self.numbers(words)
+            before = np.concatenate(([last], after[:-1]))
+            before[begins] = self.shape.size
+            last = after[-1]
+            text = np.repeat(*np.array(owner).T)
+            for x in (words, owner, begins):
+                x.clear()
+            return text, before, after
+
+        for i, text in enumerate(texts):
+            begins.append(len(words))
+            for chunk in word_chunks(text):
+                words += chunk
+                owner.append((i, len(chunk)))
+                if len(words) > block:
+                    yield block_of()
+            words.append(END)
+            owner.append((i, 1))
+        if words:
+            yield block_of()
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """How often known words occur; the start of a text occurs once a text."""
@@ -168,7 +200,6 @@ def _count_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shape)
-        end = words.numbers([END])
         held: list[np.ndarray] = []
         size = 0
 
@@ -184,15 +215,9 @@ def _count_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(file[cuts[:-1]], pa.int32()), pa.array(runs, pa.binary())], ["file", "run"])
 
         for batch in batches:
-            for text in _texts(batch, 0):
-                last = np.array([shape.size], np.int64)
-                for chunk in word_chunks(text):
-                    if chunk:
-                        line = np.concatenate((last, words.numbers(chunk)))
-                        held.append((line[:-1].astype(np.uint64) << SHIFT) | line[1:].astype(np.uint64))
-                        size, last = size + len(chunk), line[-1:]
-                held.append((last.astype(np.uint64) << SHIFT) | end.astype(np.uint64))
-                size += 1
+            for _, before, after in words.lines(_texts(batch, 0)):
+                held.append((before.astype(np.uint64) << SHIFT) | after.astype(np.uint64))
+                size += len(after)
                 if size > MOST_PAIRS:
                     yield flush()
                     size = 0
@@ -373,44 +398,15 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
     0.1 added to each count. Null and empty texts have the end alone. Repeated rows score alike; an empty table gives
     an empty result; extra columns are ignored.
     """
-    size = 400_000
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, shape = Scorer(model), model.shape
-        end = scorer.words.numbers([END])
         whole = shape.tokens + 0.1 * (shape.size + 1)
-
-        def settle(lines: list[np.ndarray], owner: list[int], totals: np.ndarray) -> None:
-            if not lines:
-                return
-            before = np.concatenate([x[:-1] for x in lines])
-            after = np.concatenate([x[1:] for x in lines])
-            logs, counts = scorer(before, after)
-            starts = np.cumsum([0, *(len(x) - 1 for x in lines)])[:-1]
-            for i, values in enumerate((np.ones(len(after)), counts > 0, np.log10((counts + 0.1) / whole), logs)):
-                np.add.at(totals[i], owner, np.add.reduceat(values.astype(np.float64), starts))
-            lines.clear()
-            owner.clear()
-
         for batch in batches:
             totals = np.zeros((4, batch.num_rows))
-            lines: list[np.ndarray] = []
-            owner: list[int] = []
-            held = 0
-            for i, text in enumerate(_texts(batch, 1)):
-                last = np.array([shape.size], np.int64)
-                for chunk in word_chunks(text):
-                    if chunk:
-                        line = np.concatenate((last, scorer.words.numbers(chunk)))
-                        lines.append(line)
-                        owner.append(i)
-                        held, last = held + len(chunk), line[-1:]
-                lines.append(np.concatenate((last, end)))
-                owner.append(i)
-                if held > size:
-                    settle(lines, owner, totals)
-                    held = 0
-            settle(lines, owner, totals)
+            for text, before, after in scorer.words.lines(_texts(batch, 1), 400_000):
+                logs, counts = scorer(before, after)
+                for i, values in enumerate((np.ones(len(after)), counts > 0, np.log10((counts + 0.1) / whole), logs)):
+                    totals[i] += np.bincount(text, values, minlength=batch.num_rows)
             n = totals[:2].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n[0]), pa.array(n[1]), pa.array(np.full(batch.num_rows, shape.tokens, np.int64)), pa.array(totals[2]), pa.array(totals[3])],
