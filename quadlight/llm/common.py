@@ -6,9 +6,11 @@ share: an executor that is lost takes nothing with it. A folder of our own is se
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +85,22 @@ def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
             stop += 1
         yield text[at:stop].split()
         at = stop
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, after which the worker gives freed memory back: workers live on for later stages."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no such call in this C library
+                pass
+
+    return whole

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlight.llm.common import staged
+from quadlight.llm.common import staged, trimmed
 
 BLOCK = 8
 #: A window's blocks, and the blocks to the next window.
@@ -177,7 +177,7 @@ def _frequencies(docs: DataFrame, text_col: str, numbers: dict[bytes, int]) -> t
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["term", "n"])
 
-    counted = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n"))
+    counted = docs.select(F.col(text_col).cast("binary")).mapInArrow(trimmed(run), "term long, n long").groupBy("term").agg(F.sum("n"))
     out = np.zeros(len(numbers) + 1, np.int64)
     for term, n in counted.collect():  # a row for each term of the slice
         out[term] = n
@@ -200,7 +200,7 @@ def _latent(docs: DataFrame, id_col: str, text_col: str, items: list[list[int]],
                 out += [p[p >= 0].astype("<i4").tobytes() for p in np.array_split(ids, max(1, len(ids) // passage))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["p"])
 
-    passages = staged(sample.select("_t").mapInArrow(cut, "p binary").where("octet_length(p) > 0").repartition(parts), "passages")
+    passages = staged(sample.select("_t").mapInArrow(trimmed(cut), "p binary").where("octet_length(p) > 0").repartition(parts), "passages")
     rng = np.random.default_rng(seed)
     basis = np.linalg.qr(rng.normal(size=(len(numbers), dimensions)))[0].astype(np.float32)
 
@@ -227,7 +227,7 @@ def _latent(docs: DataFrame, id_col: str, text_col: str, items: list[list[int]],
 
         # Items count as much as the whole sample: what they have to themselves must not drown.
         total = times(own, basis) * max(1.0, most_sample / max(1, len(own)))
-        for term, row in passages.mapInArrow(product, "term long, row binary").toLocalIterator():  # parts * terms rows at most
+        for term, row in passages.mapInArrow(trimmed(product), "term long, row binary").toLocalIterator():  # parts * terms rows at most
             total[term] += np.frombuffer(row, "<f4")
         basis = np.linalg.qr(total.astype(np.float64))[0].astype(np.float32)
     return basis
@@ -291,7 +291,7 @@ def search(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [*names, "item_id", "cosine", "lcs", "answer"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, item_id long, cosine double, lcs double, answer double")
+    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(trimmed(run), f"{kinds}, item_id long, cosine double, lcs double, answer double")
 
 
 def decontaminate(

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadlight.llm.arrays import ArrayStore, expand, mix, squeeze, summed
-from quadlight.llm.common import scratch_path, shuffle_partitions, staged, word_chunks
+from quadlight.llm.common import scratch_path, shuffle_partitions, staged, trimmed, word_chunks
 
 END = b""
 #: Distinct words, or bigrams, that a task holds before it passes them on.
@@ -168,7 +168,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(trimmed(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _store_words(counted: DataFrame, uri: str, files: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _store_words(counted: DataFrame, uri: str, files: int) -> DataFrame:
 
     # Unsigned remainder of the hash, so that file and partition agree.
     file = F.pmod(F.pmod(F.col("h"), F.lit(files)) + F.when(F.col("h") < 0, F.lit((1 << 64) % files)).otherwise(F.lit(0)), F.lit(files))
-    return counted.repartition(files, file).mapInArrow(run, "file long, words long, tokens long")
+    return counted.repartition(files, file).mapInArrow(trimmed(run), "file long, words long, tokens long")
 
 
 def _count_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
@@ -224,7 +224,7 @@ def _count_pairs(docs: DataFrame, shape: Shape) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "file int, run binary")
+    return docs.mapInArrow(trimmed(run), "file int, run binary")
 
 
 def _store_pairs(runs: DataFrame, shape: Shape) -> DataFrame:
@@ -260,7 +260,7 @@ def _store_pairs(runs: DataFrame, shape: Shape) -> DataFrame:
         if parts:
             yield rows(store(last, parts))
 
-    return runs.repartition(shape.files, "file").sortWithinPartitions("file").mapInArrow(run, "kind int, file int, run binary")
+    return runs.repartition(shape.files, "file").sortWithinPartitions("file").mapInArrow(trimmed(run), "kind int, file int, run binary")
 
 
 def _store_statistics(stats: DataFrame, shape: Shape) -> DataFrame:
@@ -285,7 +285,7 @@ def _store_statistics(stats: DataFrame, shape: Shape) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["file", "n1", "n2", "n3", "n4", "total", "some"])
 
-    return stats.where("kind < 2").repartition(shape.files, "file").mapInArrow(run, "file long, n1 long, n2 long, n3 long, n4 long, total long, some long")
+    return stats.where("kind < 2").repartition(shape.files, "file").mapInArrow(trimmed(run), "file long, n1 long, n2 long, n3 long, n4 long, total long, some long")
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -414,4 +414,4 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

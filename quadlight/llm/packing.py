@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadlight.llm.common import shuffle_partitions, staged
+from quadlight.llm.common import shuffle_partitions, staged, trimmed
 
 _encoders: dict[str, object] = {}
 
@@ -73,7 +73,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, ids binary")
 
 
 def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

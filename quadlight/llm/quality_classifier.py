@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlight.llm.common import word_chunks
+from quadlight.llm.common import trimmed, word_chunks
 
 WORDS = 1 << 14
 STYLE = 9
@@ -179,7 +179,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blob(text), blob(meta)], ["id", "label", "text", "meta"])
 
     rows = docs.join(picked, id_col).select(F.col(id_col).cast("long"), F.col("_label").cast("int"), *_columns(text_col))
-    taken = sorted(tuple(r) for r in rows.mapInArrow(run, "id long, label int, text binary, meta binary").collect())
+    taken = sorted(tuple(r) for r in rows.mapInArrow(trimmed(run), "id long, label int, text binary, meta binary").collect())
     read = lambda k: [np.frombuffer(r[k], "<i4").astype(np.int64) for r in taken]
     return co_train(read(2), read(3), np.array([r[1] for r in taken], np.int64))
 
@@ -198,4 +198,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), *_columns(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double").withColumn("kept", F.col("score") >= least)
+    return docs.select(F.col(id_col), *_columns(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, score double").withColumn("kept", F.col("score") >= least)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlight.llm.common import shuffle_partitions, staged, word_chunks
+from quadlight.llm.common import staged, trimmed, word_chunks
 from quadlight.llm.components import connected_components
 
 BITS = 64
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(trimmed(run), f"`{id_col}` {kind}, fp long")
 
 
 def block_masks(radius: int, agree: int = 2) -> list[int]:
@@ -245,14 +245,14 @@ def near_links(nodes: DataFrame, radius: int = 3, agree: int = 2, tile: int = 40
     cold = dealt.join(crowd, ["t", "key"], "left_anti").select("t", "key", none.alias("ca"), none.alias("cb"), none.alias("side"), "fp")
     cold = cold.repartition("t", "key").sortWithinPartitions("t", "key")
     find = _links_in_order(radius, masks)
-    links = cold.mapInArrow(find, "a long, b long")
+    links = cold.mapInArrow(trimmed(find), "a long, b long")
     if crowd.isEmpty():
         return links
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     hot = dealt.join(crowd, ["t", "key"]).select("t", "key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     hot = hot.select("t", "key", F.least("mine", "other").alias("ca"), F.greatest("mine", "other").alias("cb"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "fp")
     hot = hot.repartition("t", "key", "ca", "cb").sortWithinPartitions("t", "key", "ca", "cb", "side")
-    return links.union(hot.mapInArrow(find, "a long, b long"))
+    return links.union(hot.mapInArrow(trimmed(find), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, tile: int = 4096, owner: str = "") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlight.llm.common import word_chunks
+from quadlight.llm.common import trimmed, word_chunks
 
 #: Frequent words that tell languages apart.
 STOP_WORDS = {
@@ -59,52 +59,65 @@ class Model:
 class Scorer:
     """Scores texts by a model; keeps the filter outputs of words it has met."""
 
-    MOST = 400_000
+    #: Words that stay once met, mostly the frequent ones; others only until the next flush.
+    KEEP, FLUSH = 80_000, 60_000
 
     def __init__(self, model: Model):
         self.model, self.filters = model, len(model.bias) // len(WIDTHS)
         self.languages = {w.encode(): i for i, words in enumerate(STOP_WORDS.values()) for w in words.split()}
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, self.model.table.shape[1]), np.float32)  # row 0: what stands around a text
-        self.kind = np.full(1024, len(STOP_WORDS), np.int8)
+        self.extra: dict[bytes, int] = {}
+        self.rows = np.zeros((self.KEEP + 1, self.model.table.shape[1]), np.float32)  # row 0: what stands around a text
+        self.kind = np.full(self.KEEP + 1, len(STOP_WORDS), np.int8)
 
     def _add(self, word: bytes) -> int:
-        at = len(self.index) + 1
-        if at == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.kind = np.concatenate((self.kind, np.full_like(self.kind, len(STOP_WORDS))))
+        if word in self.extra:
+            return self.extra[word]
+        keep = len(self.index) < self.KEEP
+        at = len(self.index) + 1 if keep else self.KEEP + 1 + len(self.extra)
+        if at >= len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros((1 << 14, self.rows.shape[1]), np.float32)))
+            self.kind = np.concatenate((self.kind, np.zeros(1 << 14, np.int8)))
         a, b = word_rows(word)
         self.rows[at] = self.model.table[a] + self.model.table[b]
         self.kind[at] = self.languages.get(word.strip(EDGE).lower(), len(STOP_WORDS))
-        self.index[word] = at
+        (self.index if keep else self.extra)[word] = at
         return at
 
+    def _forget(self, tail: list[int]) -> list[int]:
+        """Drops the words that do not stay, but for the two that the text goes on from."""
+        rows, kinds = self.rows[tail], self.kind[tail]
+        self.extra = {b"\0%d" % i: self.KEEP + 1 + i for i in range(len(tail))}
+        at = list(self.extra.values())
+        while at[-1] >= len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros((1 << 14, self.rows.shape[1]), np.float32)))
+            self.kind = np.concatenate((self.kind, np.zeros(1 << 14, np.int8)))
+        self.rows[at], self.kind[at] = rows, kinds
+        return [x and y for x, y in zip(tail, at, strict=True)]
+
     def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        if len(self.index) > self.MOST:
-            self.clear()
         pooled = np.full((len(texts), len(WIDTHS) * self.filters), -np.inf, np.float32)
         counts = np.zeros((len(texts), len(STOP_WORDS) + 1), np.int64)
         ids: list[int] = [0, 0]
         owner: list[tuple[int, int]] = []  # text, words in a row
         for i, text in enumerate(texts):
             tail: list[int] = [0, 0]
-            for words in word_chunks(text or b""):
+            for words in word_chunks(text or b"", 1 << 18):
                 get, add = self.index.get, self._add
                 here = [get(w) or add(w) for w in words]
                 counts[i] += np.bincount(self.kind[here], minlength=len(STOP_WORDS) + 1)
                 ids += here
                 owner.append((i, len(here)))
-                tail = here[-2:] if here else tail
-                if len(ids) > 60_000:
+                tail = [*tail, *here][-2:]
+                if len(ids) > self.FLUSH:
                     self._pool(ids, owner, pooled)
+                    tail = self._forget(tail)
                     # The text may go on: its last words stand before the next part again.
                     ids, owner = [0, 0, *tail], [(i, len(tail))]
             ids += [0, 0]
             owner.append((i, 2))
         self._pool(ids, owner, pooled)
+        self._forget([0, 0])
         z = np.maximum(pooled + self.model.bias, 0)
         odds = z @ self.model.out[:-1] + self.model.out[-1]
         known = counts[:, :-1]
@@ -228,7 +241,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, most_wo
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(rows, pa.binary())], ["id", "label", "rows"])
 
-    taken = labelled.select(F.col(id_col).cast("long"), F.col(label_col).cast("int"), F.col(text_col).cast("binary")).mapInArrow(run, "id long, label int, rows binary").collect()
+    taken = labelled.select(F.col(id_col).cast("long"), F.col(label_col).cast("int"), F.col(text_col).cast("binary")).mapInArrow(trimmed(run), "id long, label int, rows binary").collect()
     taken = sorted(((r[0] or 0, r[1], bytes(r[2])) for r in taken))
     docs = [np.frombuffer(r[2], "<i4").reshape(-1, 2).astype(np.int64) for r in taken]
     labels = np.array([r[1] for r in taken], np.int64)
@@ -294,4 +307,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(values, pa.float64())], [*names, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(trimmed(run), f"{kinds}, score double")
