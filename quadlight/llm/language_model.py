@@ -346,6 +346,8 @@ class Scorer:
 
     def _pair_counts(self, pairs: np.ndarray, first_counts: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pairs), np.float64)
+        if not len(pairs):
+            return out
         file = _file_of(pairs, first_counts, self.shape)
         order = np.argsort(file, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], file[order][1:] != file[order][:-1], [True])))
