@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from quadlight import terms as T
 from quadlight.engine import query, update
 from quadlight.functions.expressions import OPERATORS
+from quadlight.operators import rules
+from quadlight.sources import ntriples
 from quadlight.sources.dataset import Dataset
 from quadlight.sources.mapping import BASE, NS, sample_tables
+from quadlight.streaming import patch
 
 PREFIXES = {"": NS, "xsd": T.XSD, "fn": T.FN, "rdf": T.RDF, "rdfs": T.RDFS, "e": BASE + "step#", "g": BASE + "graph/", "src": BASE + "source/", "nation": BASE + "nation/"}
 SPARQL: dict[str, str] = {}
@@ -377,6 +380,99 @@ _updated("add_graph", "ADD g:0 TO g:1", GRAPH_COUNTS, f"SELECT '{BASE}graph/' ||
 _updated("clear_graph", "CLEAR GRAPH g:2 ; CLEAR DEFAULT", "SELECT ?g ?s WHERE { { GRAPH ?g { ?s ?p ?o } } UNION { ?s ?p ?o } }", f"SELECT '{BASE}graph/' || n_regionkey AS g, {_iri('n_nationkey')} AS s FROM nation WHERE n_regionkey <> 2")
 
 
+# Formats, rules, lists
+
+TEXT_QUADS = f"SELECT {_iri('n_nationkey')} AS s, '{BASE}step#name' AS p, n_name AS o, NULL AS g FROM nation UNION ALL SELECT {_iri('a')}, '{BASE}step#next', {_iri('b')}, NULL FROM {NEXT} UNION ALL SELECT {_iri('n_nationkey')}, '{BASE}step#in', '{BASE}region/' || n_regionkey, '{BASE}graph/' || n_regionkey FROM nation"
+
+
+def _quads_as_text(df: DataFrame) -> DataFrame:
+    return df.select("s.lex", "p.lex", "o.lex", "g").toDF("s", "p", "o", "g")
+
+
+@_made("nquads_roundtrip", TEXT_QUADS)
+def nquads_roundtrip(spark, sf_dir):
+    return _quads_as_text(ntriples.parse_lines(ntriples.lines(nation_quads(spark, sf_dir).all_quads())))
+
+
+@_made("ntriples_roundtrip", f"SELECT '{BASE}doc/' || doc_id AS d, text AS t, lang AS l FROM documents")
+def ntriples_roundtrip(spark, sf_dir):
+    """Every document's text as a literal with its language, written as N-Triples lines and read again."""
+    rows = query("SELECT ?s ?o WHERE { ?s :textLang ?o }", mapped(spark, sf_dir), terms=True, prefixes=PREFIXES)
+    quads = rows.select("s", T.boxed(T.IRI, F.lit(NS + "text")).alias("p"), "o")
+    read = ntriples.parse_lines(ntriples.lines(quads, graphs=False))
+    return read.select(F.col("s.lex").alias("d"), F.col("o.lex").alias("t"), F.col("o.lang").alias("l"))
+
+
+@_made("canonical_ntriples", f"SELECT '<{BASE}nation/' || n_nationkey || '> <{BASE}step#name> \"' || n_name || '\" .' AS line FROM nation")
+def canonical_ntriples(spark, sf_dir):
+    quads = nation_quads(spark, sf_dir).filtered("p.lex like '%name'").all_quads()
+    return ntriples.canonical(quads.select("s", "p", "o")).withColumnRenamed("value", "line")
+
+
+@_made("rdf_patch_apply", f"SELECT s, n FROM (SELECT {_iri('n_nationkey')} AS s, n_name AS n FROM nation WHERE n_nationkey <> 2 UNION ALL SELECT '{BASE}nation/50', 'NEW')")
+def rdf_patch_apply(spark, sf_dir):
+    dataset = nation_quads(spark, sf_dir)
+    text = f"@prefix n: <{BASE}nation/> . @prefix e: <{BASE}step#> . A n:50 e:name 'NEW' . A n:2 e:name 'X' . D n:2 e:name 'X' ."
+    gone = dataset.all_quads().where(f"s.lex = '{BASE}nation/2' and p.lex like '%name'").select(F.lit(9).cast("long").alias("seq"), F.lit("D").alias("op"), "*")
+    changed = patch.apply(dataset.all_quads(), patch.parse_text(spark, text).union(gone))
+    return query(ALL_NAMES, dataset.with_quads(changed), prefixes=PREFIXES)
+
+
+@_made("rdfs_fixpoint", f"SELECT {_iri('n_nationkey')} AS s, c FROM nation, (VALUES ('{NS}Place'), ('{NS}Region'), ('{NS}Thing')) t(c) WHERE c <> '{NS}Region' UNION ALL SELECT '{BASE}region/' || r_regionkey, c FROM region, (VALUES ('{NS}Region'), ('{NS}Place'), ('{NS}Thing')) t(c)")
+def rdfs_fixpoint(spark, sf_dir):
+    """What is in something is a place, what it is in a region; regions are places, and places are things."""
+    schema = "PREFIX : <http://example.org/ns#> INSERT DATA { e:inside rdfs:domain :Place ; rdfs:range :Region . :Region rdfs:subClassOf :Place . :Place rdfs:subClassOf :Thing } ; INSERT { ?n e:inside ?r } WHERE { GRAPH ?g { ?n e:in ?r } }"
+    done = rules.rdfs(update(schema, nation_quads(spark, sf_dir), prefixes=PREFIXES), graph="urn:inferred")
+    return query("SELECT ?s ?c WHERE { GRAPH <urn:inferred> { ?s rdf:type ?c } FILTER(STRSTARTS(STR(?c), STR(:)) && STRSTARTS(STR(?s), 'http://example.org/')) FILTER(!STRSTARTS(STR(?s), STR(:))) }".replace("STR(:)", f"'{NS}'"), done, prefixes=PREFIXES)
+
+
+@_made("list_member", "SELECT * FROM (VALUES (0::BIGINT, 'a'), (1, 'b'), (2, 'c')) t(pos, member)")
+def list_member(spark, sf_dir):
+    dataset = update("INSERT DATA { e:l e:items ('a' 'b' 'c') }", Dataset(spark), prefixes=PREFIXES)
+    return rules.list_members(dataset).select("pos", F.col("member.lex").alias("member"))
+
+
+@_made("list_path", "SELECT * FROM (VALUES ('a'), ('b'), ('c')) t(m)")
+def list_path(spark, sf_dir):
+    dataset = update("INSERT DATA { e:l e:items ('a' 'b' 'c') }", Dataset(spark), prefixes=PREFIXES)
+    return query("SELECT ?m WHERE { e:l e:items/rdf:rest*/rdf:first ?m }", dataset, prefixes=PREFIXES)
+
+
+@_made("load_document", f"SELECT '{BASE}graph/loaded' AS g, count(*) AS n FROM nation")
+def load_document(spark, sf_dir):
+    dataset = replace(Dataset(spark), documents={"urn:doc": nation_quads(spark, sf_dir).filtered("p.lex like '%name'")})
+    return query(GRAPH_COUNTS, update("LOAD <urn:doc> INTO GRAPH g:loaded", dataset, prefixes=PREFIXES), prefixes=PREFIXES)
+
+
+@_made("from_document", "SELECT n_name AS n FROM nation")
+def from_document(spark, sf_dir):
+    dataset = replace(Dataset(spark), documents={"urn:doc": nation_quads(spark, sf_dir)})
+    return query("SELECT ?n FROM <urn:doc> WHERE { ?s e:name ?n }", dataset, prefixes=PREFIXES)
+
+
+@_made("service_var", "SELECT 'urn:names' AS e, n_name AS n FROM nation")
+def service_var(spark, sf_dir):
+    dataset = replace(Dataset(spark), services={"urn:names": nation_quads(spark, sf_dir)})
+    return query("SELECT ?e ?n WHERE { SERVICE ?e { ?s e:name ?n } }", dataset, prefixes=PREFIXES)
+
+
+@_made("union_model", "SELECT count(*) AS n FROM nation")
+def union_model(spark, sf_dir):
+    one = nation_quads(spark, sf_dir)
+    return query("SELECT (COUNT(*) AS ?n) WHERE { ?s e:name ?o }", one.union(nation_quads(spark, sf_dir)), prefixes=PREFIXES)
+
+
+@_made("path_repeat", f"SELECT {_iri('e.a')} AS a, {_iri('f.b')} AS b FROM {NEXT} e JOIN {NEXT} f ON e.b = f.a")
+def path_repeat(spark, sf_dir):
+    """{2}, which only programs can write."""
+    from quadlight.engine import native
+    from quadlight.plans import algebra as A
+    from quadlight.plans import compiler as C
+
+    step = ("repeat", ("iri", f"{BASE}step#next"), 2, 2)
+    return native(C.pattern(A.PathPattern(T.Var("a"), step, T.Var("b")), C.Context(nation_quads(spark, sf_dir))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = lambda text, data: lambda spark, sf_dir: query(text, data(spark, sf_dir), prefixes=PREFIXES)
     out = {k: run(v, mapped) for k, v in SPARQL.items()}

@@ -9,7 +9,10 @@ from quadlight import terms as T
 
 _IRI = r"<([^<>\x22{}|^`\x00-\x20]*)>"
 _BLANK = r"_:([A-Za-z0-9_·-�][\w.\-·-�]*)"
-_LITERAL = r"\x22((?:[^\x22\\\n\r]|\\.)*)\x22(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
+#: The closing quote is the first that no odd run of backslashes stands before. Without a repeated group: Java's regular
+#: expressions recurse for each turn of one, and long literals would exhaust the stack.
+_CLOSE = r"\x22(?<!(?<!\\)(?:\\\\){0,64}\\\x22)"
+_LITERAL = rf"\x22([^\n\r]*?){_CLOSE}(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
 #: Groups: 1 subject IRI, 2 blank; 3 predicate; 4 object IRI, 5 blank, 6 literal, 7 type, 8 language; 9 graph IRI, 10 blank.
 LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:(?:{_IRI}|{_BLANK})\s*)?\.\s*(?:#.*)?$"
 
