@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the normalised words of the benchmark. Their document frequencies are counted over all documents; terms
-   in more than a tenth of these weigh nothing.
+1. Terms are the normalised words of the benchmark. Their document frequencies are counted over all documents. A term
+   that is in over a tenth of these is as common as it is in the other items, if that is less: words that copies of a
+   leak have made frequent keep their weight. No term weighs nothing.
 2. A randomised SVD of the TF-IDF matrix of passages gives every term a latent vector. The matrix holds all benchmark
    items and the passages of a bounded sample of documents (``most_sample`` rows, the first by the hash of their id);
    its products with the test matrix are computed on the executors and summed by term.
-3. Every document is read whole. Windows of 40 words slide over it in steps of 16; a window whose with an item reaches ``least_cosine`` is a candidate.
-4. Candidates are checked exactly on the words around the window: the share of the item's TF-IDF mass that is there,
-   the longest common subsequence of words, and the same for the answer, the item's last sentence. Much of the text in
-   order is a leak in itself; half of it, with the answer, is a paraphrase.
+3. Every document is read whole. Windows of 40 words slide over it in steps of 16; a window whose cosine with an item reaches ``least_cosine`` is a candidate.
+4. Candidates are checked exactly on the words around the window: the longest common subsequence of words, and the same
+   for the answer, the item's last sentence. Much of the text in order is a leak in itself; half of it, with the answer,
+   is a paraphrase. Only where too few of the item's words are there for either is the subsequence not computed.
 
 The benchmark is the query set. It is read in slices of at most ``slice_bytes`` of text, so what is sent to the workers
 is bounded; every slice is matched against all documents.
@@ -30,7 +31,7 @@ from quadlight.llm.common import staged, trimmed
 BLOCK = 8
 #: A window's blocks, and the blocks to the next window.
 WINDOW, STEP = 5, 2
-#: Terms in more than this share of the documents say nothing about a passage.
+#: Terms in more than this share of the documents may be copies of a leak: the benchmark says how common they are.
 COMMON = 0.1
 
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -77,18 +78,28 @@ class Index:
     latent: np.ndarray  # (terms, dimensions), weighted
     vectors: np.ndarray  # (items, dimensions), of length 1
     least_cosine: float
-    least_mass: float = 0.5
     least_lcs: float = 0.5
     sure_lcs: float = 0.8
     least_answer: float = 0.5
 
     def __post_init__(self):
-        self.mass = [[(t, float(self.weights[t])) for t in text if self.weights[t] > 0] for text in self.texts]
-        self.needed = [self.least_mass * sum(w for _, w in m) for m in self.mass]
+        self.terms = [frozenset(t) for t in self.texts]
+        self.spare = [len(t) - math.ceil(self.least_lcs * len(t) - 1e-9) for t in self.texts]
 
     def holds(self, item: int, there: set[int]) -> bool:
-        """Whether enough of the item's TF-IDF mass is there."""
-        return sum(w for t, w in self.mass[item] if t in there) >= self.needed[item]
+        """Whether enough of the item's words are there for a longest common subsequence of ``least_lcs``."""
+        return len(self.terms[item] - there) <= self.spare[item]
+
+    def size(self, item: int) -> int:
+        return len(self.texts[item])
+
+    def half(self, item: int) -> int:
+        """Words to either side of a place that are searched for the item."""
+        return int(0.75 * len(self.texts[item])) + BLOCK
+
+    def reach(self, item: int) -> int:
+        """Words beyond a window that the item may reach to."""
+        return len(self.texts[item]) // 2 + self.half(item)
 
     def check(self, item: int, region: np.ndarray) -> tuple[float, float] | None:
         """(longest common subsequence, answer's) as shares of the item, if they make a leak."""
@@ -108,22 +119,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def candidates(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
-    """(document, first word, word after the last, item, cosine) of windows near items."""
+    """(document, first word, word after the last, item, cosine) of windows near items that may hold them."""
     sizes = np.array([-(-len(d) // BLOCK) for d in docs], np.int64)
     gap = WINDOW
     first = np.cumsum(sizes + gap) - (sizes + gap)
-    ids = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    block = np.concatenate([f + np.arange(len(d)) // BLOCK for f, d in zip(first, docs, strict=True)]) if docs else ids
-    weighty = np.append(index.weights > 0, False)[ids]  # the last for -1
-    ids, block = ids[weighty], block[weighty]
-    if not len(ids):
+    if not len(docs) or not sizes.any():
         return
-    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    sums = np.zeros((int(first[-1] + sizes[-1]) + gap, index.latent.shape[1]), np.float32)
-    for lo in range(0, len(starts), 1 << 12):
-        part = starts[lo : lo + (1 << 12)]
-        end = starts[lo + (1 << 12)] if lo + (1 << 12) < len(starts) else len(ids)
-        sums[block[part]] = np.add.reduceat(index.latent[ids[part[0] : end]], part - part[0], axis=0)
+    cells = np.full((int(first[-1] + sizes[-1]) + gap, BLOCK), -1, np.int32)
+    for f, d in zip(first, docs, strict=True):
+        cells.reshape(-1)[f * BLOCK : f * BLOCK + len(d)] = d
+    sums = np.zeros((len(cells), index.latent.shape[1]), np.float32)
+    rows = np.concatenate((index.latent, np.zeros((1, index.latent.shape[1]), np.float32)))  # the last for -1
+    for lo in range(0, len(cells), 1 << 10):
+        for k in range(BLOCK):
+            sums[lo : lo + (1 << 10)] += rows[cells[lo : lo + (1 << 10), k]]
     owner = np.repeat(np.arange(len(docs)), sizes)
     place = np.concatenate([f + np.arange(s) for f, s in zip(first, sizes, strict=True)])
     use = (place - first[owner]) % STEP == 0
@@ -135,10 +144,20 @@ def candidates(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int,
             w = w + sums[here + j]
         some = np.flatnonzero(w.any(axis=1))
         near = _unit(w[some]) @ index.vectors.T
-        for i, item in zip(*np.nonzero(near >= index.least_cosine), strict=True):
-            d = int(mine[some[i]])
-            start = int(here[some[i]] - first[d]) * BLOCK
-            yield d, start, min(start + WINDOW * BLOCK, len(docs[d])), int(item), float(near[i, item])
+        window, items = np.nonzero(near >= index.least_cosine)
+        cosines = near[window, items].tolist()
+        cuts = np.flatnonzero(np.diff(window, prepend=-1, append=-1)).tolist()
+        items = items.tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):  # the items near a window
+            i = some[window[a]]
+            d = int(mine[i])
+            start = int(here[i] - first[d]) * BLOCK
+            end = min(start + WINDOW * BLOCK, len(docs[d]))
+            reach = index.reach(max(items[a:b], key=index.size))
+            there = set(docs[d][max(0, start - reach) : end + reach].tolist())
+            for k in range(a, b):
+                if index.holds(items[k], there):
+                    yield d, start, end, items[k], cosines[k]
 
 
 def leaks(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
@@ -146,9 +165,8 @@ def leaks(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, float, f
     best: dict[int, tuple] = {}
     tried: set[tuple[int, int, int]] = set()
     for d, start, end, item, cosine in candidates(index, docs):
-        size = len(index.texts[item])
-        middle, half = (start + end) // 2, int(0.75 * size) + BLOCK
-        reach = size // 2 + half
+        size, half, reach = index.size(item), index.half(item), index.reach(item)
+        middle = (start + end) // 2
         if not index.holds(item, set(docs[d][max(0, start - reach) : end + reach].tolist())):
             continue
         # The window may hold only a part of the item, which then reaches to either side.
@@ -241,6 +259,14 @@ def _answer(text: str) -> str:
     return parts[-1] if parts else ""
 
 
+def term_weights(frequency: np.ndarray, n: int, texts: list[list[int]]) -> np.ndarray:
+    """Inverse document frequencies, all above zero. A share of the documents above ``COMMON`` counts as no more than
+    the share of the other items that have the term, or ``COMMON``."""
+    others = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=len(frequency)) - 1
+    share = (frequency + 1) / (n + 1)
+    return -np.log(np.minimum(share, np.maximum(others / len(texts), COMMON))) + 0.01
+
+
 def build_index(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col: str, dimensions: int, most_sample: int, least_cosine: float) -> Index | None:
     texts = [words(t.encode()) for _, t in items]
     kept = [item for item, ws in zip(items, texts, strict=True) if ws]
@@ -250,11 +276,7 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text
     frequency, n = _frequencies(docs, text_col, numbers)
     texts = [[numbers[w] for w in ws] for ws in texts if ws]
     answers = [[numbers[w] for w in words(_answer(t).encode())] for _, t in kept]
-    full = np.log((n + 1) / (frequency + 1)) + 0.01
-    weights = np.where(frequency > max(COMMON * n, 20), 0.0, full)
-    for t in texts:  # an item of common terms only keeps them
-        if not weights[t].any():
-            weights[t] = full[t]
+    weights = term_weights(frequency, n, texts)
     basis = _latent(docs, id_col, text_col, texts, numbers, weights, min(dimensions, len(numbers)), most_sample)
     latent = (basis * weights[:, None]).astype(np.float32)
     vectors = _unit(np.array([latent[t].sum(axis=0) for t in texts])).astype(np.float32)

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quadlight.llm import near_copies
+from quadlight.llm import decontamination, near_copies
 
 
 def prose(rng, n):
@@ -61,3 +61,22 @@ def test_near_copies_in_a_large_group(spark):
     assert [got[i] for i in range(120)] == label.tolist()
     assert (got[120], got[121], got[122], got[123], got[124]) == (120, 120, 122, 122, 122)
     assert near_copies.near_copy_components(spark.createDataFrame([], "k long, text string"), "k").count() == 0
+
+
+# Decontamination
+
+
+def test_leak_in_a_large_group_of_copies(spark):
+    rng = np.random.default_rng(14)
+    items = [(i, " ".join(prose(rng, 12)) + ". " + " ".join(prose(rng, 10))) for i in range(8)]
+    rows = []
+    for i in range(300):
+        words = prose(rng, 100)
+        if i % 3 == 0:  # a third of the rows carry item 0 but for one word
+            leak = items[0][1].replace(".", "").split()
+            leak[4] = "other"
+            words[30:30] = leak
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), dimensions=16).collect()
+    assert {r["doc_id"]: r["item_id"] for r in got if r["contaminated"]} == {i: 0 for i in range(0, 300, 3)}
