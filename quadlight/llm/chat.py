@@ -31,6 +31,8 @@ LAYOUTS = {
     "instruction_input": (['{"instruction":"","input":"","output":""}'], [("user", "instruction"), ("user", "input"), ("assistant", "output")]),
     "system_instruction": (['{"system":"","instruction":"","output":""}'], [("system", "system"), ("user", "instruction"), ("assistant", "output")]),
 }
+#: A record of fewer bytes than this is never too large for a JSON reader.
+LARGE = 16_000_000
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -50,27 +52,37 @@ def unescape(c: Column) -> Column:
     return reduce(lambda x, y: F.replace(x, F.lit(y[1]), F.lit(y[0])), ((">", "\\g"), ("<", "\\l"), ("\\", "\\b")), c)
 
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _role(c: Column) -> Column:
+    return reduce(lambda x, y: F.when(c == y[0], y[1]).otherwise(x), ROLES.items(), _text(c))
+
+
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
     """Adds ``layout`` and ``turns`` (array of role, text). A record of no known layout has a null layout and no turns;
-    null fields count as empty texts."""
-    found = records.withColumn("_print", fingerprint(F.col(record_col))).withColumn("_r", F.from_json(record_col, FIELDS))
+    null fields count as empty texts. A record that is JSON but too large for a fingerprint (variants hold 128 MB, their
+    texts 20 million characters) is an error."""
+    options = {"maxStringLen": str((1 << 31) - 1), "columnNameOfCorruptRecord": "_corrupt"}
+    found = records.withColumn("_print", fingerprint(F.col(record_col))).withColumn("_r", F.from_json(record_col, f"{FIELDS}, _corrupt string", options))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    text = lambda c: F.coalesce(c, F.lit(""))
-
-    def role(c: Column) -> Column:
-        return reduce(lambda x, y: F.when(c == y[0], y[1]).otherwise(x), ROLES.items(), text(c))
 
     def turn(who: str, field: str):
-        return lambda x: F.struct(role(x[who]).alias("role"), text(x[field]).alias("text"))
+        return lambda x: F.struct(_role(x[who]).alias("role"), _text(x[field]).alias("text"))
 
     for name, (examples, how) in LAYOUTS.items():
         here = reduce(lambda x, y: x | y, [F.col("_print") == fingerprint(F.lit(e)) for e in examples])
         if isinstance(how, tuple):
             made = F.transform(F.col("_r")[how[0]], turn(how[1], how[2]))
         else:
-            made = F.array(*[F.struct(F.lit(who).alias("role"), text(F.col("_r")[field]).alias("text")) for who, field in how])
+            made = F.array(*[F.struct(F.lit(who).alias("role"), _text(F.col("_r")[field]).alias("text")) for who, field in how])
         layout, turns = F.when(here, name).otherwise(layout), F.when(here, made.cast(TURNS)).otherwise(turns)
-    return found.withColumn("layout", layout).withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("_print", "_r")
+    record = F.col(record_col)
+    lost = (F.octet_length(record) >= LARGE) & F.try_parse_json(record).isNull() & F.col("_r").isNotNull() & F.col("_r._corrupt").isNull()
+    error = F.raise_error(F.concat(F.lit("a record is too large to be read as a whole, bytes: "), F.octet_length(record)))
+    layout, turns = F.when(lost, error.cast("string")).otherwise(layout), F.when(lost, error.cast(TURNS)).otherwise(F.coalesce(turns, F.array().cast(TURNS)))
+    return found.withColumn("layout", layout).withColumn("turns", turns).drop("_print", "_r")
 
 
 def format_turns(df: DataFrame) -> DataFrame:
@@ -105,11 +117,24 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
 
 
+def _in_order(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(id_col, _rows: array of turn, role, text in order)."""
+    row = F.struct(F.col(turn_col).alias("t"), _text(F.col(role_col)).alias("r"), _text(F.col(text_col)).alias("x"))
+    return turns.groupBy(id_col).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+
+def conversations_as_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id_col, layout, turns) of each conversation, as its ``messages`` record has them, but without a record between:
+    no JSON reader bounds what a conversation or a text may hold."""
+    rows = _in_order(turns, id_col, turn_col, role_col, text_col)
+    made = F.transform("_rows", lambda m: F.struct(_role(m["r"]).alias("role"), m["x"].alias("text")))
+    return rows.select(id_col, F.lit("messages").alias("layout"), made.alias("turns"))
+
+
 def conversations_as_records(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One ``messages`` record a conversation (id_col, record), its rows by turn. Ties of a turn go by role and text,
     repeated rows stay, rows of a null id form one conversation, null turns come first, null roles and texts are empty."""
-    row = F.struct(F.col(turn_col).alias("t"), F.coalesce(role_col, F.lit("")).alias("r"), F.coalesce(text_col, F.lit("")).alias("x"))
-    rows = turns.groupBy(id_col).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    rows = _in_order(turns, id_col, turn_col, role_col, text_col)
     messages = F.transform("_rows", lambda m: F.struct(m["r"].alias("role"), m["x"].alias("content")))
     return rows.select(id_col, F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 

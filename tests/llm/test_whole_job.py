@@ -1,9 +1,11 @@
 """Rows that earlier versions of the training-data operators left out."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadlight.llm import decontamination, near_copies
+from quadlight.llm import chat, decontamination, near_copies, queries
 
 
 def prose(rng, n):
@@ -80,3 +82,17 @@ def test_leak_in_a_large_group_of_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), dimensions=16).collect()
     assert {r["doc_id"]: r["item_id"] for r in got if r["contaminated"]} == {i: 0 for i in range(0, 300, 3)}
+
+
+# Chats
+
+
+def test_large_conversations_keep_their_turns(spark, tmp_path):
+    made = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.expr("repeat('<a', 10500000)").alias("text"))
+    made.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op8_chat_format(spark, str(tmp_path)).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[-7]["n_turns"]) == (1, 21_000_000, 2)
+    with pytest.raises(Exception, match="too large"):
+        chat.format_chats(chat.conversations_as_records(made)).select("layout").collect()
+    broken = spark.range(1).select(F.expr("repeat('{', 17000000)").alias("record"))
+    assert [r[0] for r in chat.format_chats(broken).select("layout").collect()] == [None]
