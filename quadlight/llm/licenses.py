@@ -1,8 +1,9 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of other characters than a-z and 0-9 as one space)
-and looked up among known licence sentences; the identifiers found, in order, are matched against ordered licence
-rules. Only texts that hold one of a few cue words are cut at all.
+A text is normalised (lower case, runs of other characters than a-z and 0-9 as one space) and cut into pieces. Known
+licence sentences are one or more whole pieces in a row, so they may be wrapped over lines and hold ; or : inside; of
+those that begin at a piece, the longest counts. The identifiers found, in order, are matched against ordered licence
+rules. Only texts that hold one of a few cue words, as all known sentences do, are cut at all.
 """
 
 from __future__ import annotations
@@ -60,7 +61,9 @@ RULES = {
     "MPL-2.0": [["mpl-name"]],
     "all-rights-reserved": [["reserved"]],
 }
-CUES = r"(?i)licen[cs]e|rights reserved|permission is hereby|redistribution|free software|warranty"
+CUES = r"(?i)licen[cs]e|rights[^a-z0-9]+reserved|permission|redistribution|free[^a-z0-9]+software|warranty"
+#: Between the pieces of a text.
+CUT = "|"
 
 
 def normal(sentence: str) -> str:
@@ -69,13 +72,12 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def _normal(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-
-
-def sentences(text: Column) -> Column:
-    """Cuts after . ! ? ; : before white space, and at line ends."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "[\n\r]+", -1)
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text with ``CUT`` around each: it is cut after . ! ? ; : before white space, and at
+    line ends."""
+    marked = F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n")
+    spaced = F.regexp_replace(F.lower(marked), "[^a-z0-9\n\r]+", " ")
+    return F.concat(F.lit(CUT), F.regexp_replace(F.trim(spaced), "[ \n\r]*[\n\r][ \n\r]*", CUT), F.lit(CUT))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,8 +91,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     by_sentence = {normal(s): k for k, s in SENTENCES.items()}
     known = F.create_map(*[F.lit(x) for pair in by_sentence.items() for x in pair])
     text = F.col(text_col)
-    cut = F.when(text.rlike(CUES), F.transform(F.filter(sentences(text), lambda s: s.rlike(CUES) | s.rlike(r"(?i)\b(obtain a copy|copyright|subject to)\b")), lambda s: _normal(s)))
-    ids = F.filter(F.transform(cut, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    longest = sorted(by_sentence, key=lambda k: (-len(k), k))
+    whole = rf"(?<=\|)({'|'.join(k.replace(' ', '[ |]') for k in longest)})(?=\|)"
+    found = F.when(text.rlike(CUES), F.regexp_extract_all(pieces(text), F.lit(whole), F.lit(1)))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit(CUT), F.lit(" "))))
     ids = F.coalesce(F.array_join(ids, " "), F.lit(""))
     out = docs.select(F.col(id_col), ids.alias("sentence_ids"))
     # Every rule that matches is cut out of the sequence and leaves its licence, so rules that it holds do not match again.

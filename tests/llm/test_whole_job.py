@@ -1,11 +1,13 @@
 """Rows that earlier versions of the training-data operators left out."""
 
+import textwrap
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadlight.llm import chat, decontamination, near_copies, queries
+from quadlight.llm import chat, decontamination, licenses, near_copies, queries
 
 
 def prose(rng, n):
@@ -96,3 +98,18 @@ def test_large_conversations_keep_their_turns(spark, tmp_path):
         chat.format_chats(chat.conversations_as_records(made)).select("layout").collect()
     broken = spark.range(1).select(F.expr("repeat('{', 17000000)").alias("record"))
     assert [r[0] for r in chat.format_chats(broken).select("layout").collect()] == [None]
+
+
+# Licences
+
+
+def test_licence_sentences_with_cuts_inside_and_wrapped(spark):
+    full = licenses.SENTENCES
+    texts = [full[k] for k in full]
+    wrap = lambda *keys: "\n\n".join("\n".join(textwrap.wrap(full[k], 60, initial_indent=" * ", subsequent_indent=" * ")) for k in keys)
+    texts += [textwrap.fill(t, 25) for t in texts]
+    notices = [("mit-title", "mit-grant", "mit-keep"), ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"), ("gpl-grant", "gpl-hope"), ("apache-notice-full", "apache-copy")]
+    rows = list(enumerate([*texts, *(wrap(*n) for n in notices)]))
+    got = [r for r in sorted(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())]
+    assert [r["sentence_ids"] for r in got] == [*full, *full, *(" ".join(n) for n in notices)]
+    assert [r["licenses"] for r in got[-4:]] == ["MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0"]
