@@ -164,6 +164,23 @@ def expression_variables(e: Any) -> set[str]:
     return set()
 
 
+def mentions(x: Any) -> set[str]:
+    """Names of all variables that stand anywhere in a pattern or expression, but for what subqueries keep to themselves."""
+    if isinstance(x, Var):
+        return {x.name}
+    if isinstance(x, SubSelect):
+        return variables(x)
+    if isinstance(x, Table):
+        return set(x.names)
+    if isinstance(x, Extend):
+        return {x.var} | mentions(x.pattern) | mentions(x.expr)
+    if isinstance(x, (list, tuple)):
+        return set().union(set(), *map(mentions, x))
+    if hasattr(x, "__dataclass_fields__"):
+        return set().union(set(), *(mentions(getattr(x, f)) for f in x.__dataclass_fields__))
+    return set()
+
+
 def has_aggregate(e: Any) -> bool:
     if isinstance(e, tuple):
         return e[0] == "agg" or e[0] != "exists" and any(has_aggregate(x) for x in e[1:])

@@ -8,6 +8,7 @@ conjuncts; variables that may be unbound are compatible with anything.
 
 from __future__ import annotations
 
+import contextvars
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlight import terms as T
-from quadlight.functions.expressions import Scope, _common, evaluate
+from quadlight.functions.expressions import LIST_MEMBER, Scope, _common, _number_term, _rank, evaluate, list_member
 from quadlight.plans import algebra as A
 from quadlight.plans.parser import SparqlError
 from quadlight.sources.dataset import Dataset, row_label
@@ -26,6 +27,10 @@ from quadlight.terms import Iri, Literal, Node, Value, Var
 
 _count = itertools.count(1)
 TYPE = T.RDF + "type"
+RANK_OF_DOUBLES = ("float", "double")
+#: Join strategies that a query may ask for, as Spark's hints; None leaves the choice to Spark.
+JOINS = {"broadcast": "broadcast", "merge": "merge", "hash": "shuffle_hash", "nested": "shuffle_replicate_nl"}
+join_strategy: contextvars.ContextVar[str | None] = contextvars.ContextVar("join_strategy", default=None)
 #: Compilers of patterns that live in modules of their own.
 EXTENSIONS: dict[type, Callable] = {}
 
@@ -63,6 +68,36 @@ class Context:
     graph: Node | None = None  # None: the default graph
     base: str = ""
     outer: dict[str, Value] = field(default_factory=dict)  # what a nested pattern's filters may also see
+    domain: Domain | None = None  # the rows that an EXISTS stands in
+    bound: Solution | None = None  # what the patterns joined with a closure bind
+    strict: bool = False  # MIN and MAX over values of several kinds are an error
+
+
+class Domain:
+    """The bindings of the rows around an EXISTS, for the parts of its pattern that speak of them.
+
+    A part that reads a variable of the rows without binding it is joined with their distinct bindings, and so carries
+    the variable up to the semi join. Where a variable may be unbound in the rows, ``UNBOUND`` and its name is a second
+    variable that says so: rows without a binding match their own kind alone.
+    """
+
+    UNBOUND = "_:unbound "
+
+    def __init__(self, rows: Solution):
+        self.rows, self.marked = rows, set()
+
+    def beside(self, s: Solution, names: set[str]) -> Solution:
+        """``s`` joined with the bindings of those ``names`` that it does not surely bind itself."""
+        need = {n for n in names if n in self.rows.values and (n not in s.values or n in s.maybe)}
+        if not need:
+            return s
+        shared = {n for n in s.values if n in self.rows.values and n not in s.maybe and n not in self.rows.maybe}
+        self.marked |= need & self.rows.maybe
+        return join(s, distinct(self.with_marks(self.rows, need).only([*sorted(need | shared), *(self.UNBOUND + n for n in sorted(need & self.rows.maybe))])))
+
+    def with_marks(self, s: Solution, names: set[str]) -> Solution:
+        marks = {self.UNBOUND + n: Value(s.values[n].col.isNull(), "boolean") for n in sorted(names & self.rows.maybe)}
+        return Solution(s.df, {**s.values, **marks}, s.maybe)
 
 
 # Joins
@@ -117,6 +152,8 @@ def join(a: Solution, b: Solution) -> Solution:
         return union(parts)
     values, maybe = _merged(a, b)
     on = _alike(a, b, names)
+    if on and (wanted := join_strategy.get()):
+        b = Solution(b.df.hint(JOINS[wanted]), b.values, b.maybe)
     df = a.df.join(b.df, reduce(lambda p, q: p & q, on), "inner") if on else a.df.crossJoin(b.df)
     return Solution(df, values, maybe)
 
@@ -137,14 +174,16 @@ def semi_join(a: Solution, b: Solution, anti: bool, condition: Callable[[dict[st
     return Solution(a.df.join(b.df, reduce(lambda p, q: p & q, on) if on else F.lit(True), "left_anti" if anti else "left_semi"), a.values, a.maybe)
 
 
-def minus(a: Solution, b: Solution) -> Solution:
-    """Drops rows of a that are compatible with a row of b and share a bound variable with it."""
+def minus(a: Solution, b: Solution, given: set[str] = frozenset()) -> Solution:
+    """Drops rows of a that are compatible with a row of b and share a bound variable with it. Variables that are
+    ``given`` from outside must agree, but do not count as shared."""
     names = _shared(a, b)
-    if not names:
+    own = [n for n in names if n not in given and not n.startswith(Domain.UNBOUND)]
+    if not own:
         return a
     on = _alike(a, b, names)
-    if not any(n not in a.maybe and n not in b.maybe for n in names):
-        on.append(reduce(lambda p, q: p | q, [a.values[n].col.isNotNull() & b.values[n].col.isNotNull() for n in names]))
+    if not any(n not in a.maybe and n not in b.maybe for n in own):
+        on.append(reduce(lambda p, q: p | q, [a.values[n].col.isNotNull() & b.values[n].col.isNotNull() for n in own]))
     return Solution(a.df.join(b.df, reduce(lambda p, q: p & q, on), "left_anti"), a.values, a.maybe)
 
 
@@ -334,11 +373,14 @@ def _chain(parts: list[Solution]) -> Solution:
     return out
 
 
-def _active(ctx: Context) -> DataFrame:
-    """The quads of the active graph. A graph that is made up of several holds each triple once."""
+def _active(ctx: Context, predicate: Node | None = None) -> DataFrame:
+    """The quads of the active graph, or those of a constant predicate in it where the store finds them on its own. A
+    graph that is made up of several holds each triple once."""
     quads, view = ctx.dataset.quads, ctx.dataset.view
+    if ctx.dataset.scan is not None and isinstance(predicate, Iri):
+        quads = ctx.dataset.scan(predicate.value)
     if any(_visible(ctx, t) for t in ctx.dataset.tables):
-        quads = replace(ctx.dataset, tables=tuple(t for t in ctx.dataset.tables if _visible(ctx, t))).all_quads()
+        quads = replace(ctx.dataset, quads=quads, scan=None, tables=tuple(t for t in ctx.dataset.tables if _visible(ctx, t))).all_quads()
     if quads is None:
         quads = ctx.dataset.spark.createDataFrame([], "s {0}, p {0}, o {0}, g string".format(T.TERM))
     if ctx.graph is None:
@@ -373,7 +415,7 @@ def _match(df: DataFrame, triple: tuple, columns: tuple[str, ...] = ("s", "p", "
 
 
 def quad_scan(ctx: Context, triple: tuple) -> Solution:
-    return _match(_active(ctx), triple, graph=ctx.graph)
+    return _match(_active(ctx, triple[1]), triple, graph=ctx.graph)
 
 
 # Patterns
@@ -385,15 +427,15 @@ def pattern(x, ctx: Context) -> Solution:
     if isinstance(x, A.Bgp):
         return bgp(ctx, x.triples)
     if isinstance(x, A.Join):
-        if isinstance(x.left, A.Bgp) and not x.left.triples:
-            return pattern(x.right, ctx)
-        return join(pattern(x.left, ctx), pattern(x.right, ctx))
+        return _joined(_operands(x), ctx)
     if isinstance(x, A.LeftJoin):
-        left, right = pattern(x.left, ctx), pattern(x.right, ctx)
+        left, right = _given(pattern(x.left, ctx), [x.right, x.condition], ctx), pattern(x.right, ctx)
         condition = None if x.condition is None else lambda values: T.ebv(evaluate(x.condition, Scope({**ctx.outer, **values}, ctx.base, ctx.dataset.functions)))
         return left_join(left, right, condition)
     if isinstance(x, A.Minus):
-        return minus(pattern(x.left, ctx), pattern(x.right, ctx))
+        left = pattern(x.left, ctx)
+        whole = _given(left, x.right, ctx)
+        return minus(whole, pattern(x.right, ctx), set(whole.values) - set(left.values))
     if isinstance(x, A.Union):
         return union([pattern(p, ctx) for p in x.parts])
     if isinstance(x, A.Graph):
@@ -405,16 +447,46 @@ def pattern(x, ctx: Context) -> Solution:
     if isinstance(x, A.Service):
         return service(x, ctx)
     if isinstance(x, A.Extend):
-        return extend(pattern(x.pattern, ctx), x.var, x.expr, ctx)
+        return extend(_given(pattern(x.pattern, ctx), x.expr, ctx), x.var, x.expr, ctx)
     if isinstance(x, A.Filter):
-        return filtered(pattern(x.pattern, ctx), x.expr, ctx)
+        return filtered(_given(pattern(x.pattern, ctx), x.expr, ctx), x.expr, ctx)
     if isinstance(x, A.Table):
         return table(x, ctx)
     if isinstance(x, A.SubSelect):
-        return select(x.query, replace(ctx, outer={}))
+        return select(x.query, replace(ctx, outer={}, domain=None))
     raise SparqlError(f"unknown pattern {type(x).__name__}")
 
 
+def _operands(x) -> list:
+    if isinstance(x, A.Join):
+        return [*_operands(x.left), *_operands(x.right)]
+    return [] if isinstance(x, A.Bgp) and not x.triples else [x]
+
+
+def _joined(parts: list, ctx: Context) -> Solution:
+    """Joins patterns. Closures come last: one whose end the others bind is explored from there alone."""
+    closures = [p for p in parts if isinstance(p, A.PathPattern) and p.path[0] in ("star", "plus")]
+    others = [p for p in parts if not any(p is c for c in closures)]
+    if len(parts) == 0:
+        return unit(ctx.dataset)
+    out = None
+    while others or closures:
+        near = lambda p, out=out: out is None or A.variables(p) & set(out.values)
+        k = next((i for i, p in enumerate(others) if near(p)), None)
+        if k is None and closures:
+            k = next((i for i, p in enumerate(closures) if near(p)), 0)
+            found = pattern(closures.pop(k), replace(ctx, bound=out))
+        else:
+            found = pattern(others.pop(k or 0), ctx)
+        out = found if out is None else join(out, found)
+    return out
+
+
+def _given(s: Solution, reader, ctx: Context) -> Solution:
+    """``s`` with the bindings that ``reader``, a pattern or an expression beside it, takes from the rows around an EXISTS."""
+    return s if ctx.domain is None else ctx.domain.beside(s, A.mentions(reader))
+
+
 def _graph_names(ctx: Context, var: Var) -> Solution:
     names = ctx.dataset.graphs()
     if ctx.dataset.view is not None:
@@ -472,26 +544,44 @@ def extend(s: Solution, name: str, e, ctx: Context) -> Solution:
 
 def _exists_in(e) -> list:
     if isinstance(e, tuple):
+        if e[0] == "call" and e[1] in LIST_MEMBER:
+            return [("exists", list_member(e[2]))]
         return [e] if e[0] == "exists" else [x for a in e[1:] for x in _exists_in(a)]
     return [x for a in e for x in _exists_in(a)] if isinstance(e, list) else []
 
 
 def _scope(s: Solution, e, ctx: Context, aggregates: dict[str, Value] | None = None) -> tuple[Scope, Solution]:
-    """The scope of an expression. Each EXISTS inside it becomes a flag: rows that have a match, and the others."""
+    """The scope of an expression. Each EXISTS inside it becomes a flag column."""
     flags = {}
     for x in _exists_in(e):
-        name = fresh("exists")
-        yes, no = exists(s, x[1], False, ctx), exists(s, x[1], True, ctx)
-        s = Solution(yes.df.withColumn(name, F.lit(True)).union(no.df.withColumn(name, F.lit(False))), s.values, s.maybe)
-        flags[repr(x)] = F.col(name)
+        flags[repr(x)], s = _flagged(s, x[1], ctx)
     row = None
     if "bnode" in repr(e):
         row = F.md5(F.to_json(F.struct(*[v.box().alias(f"c{i}") for i, v in enumerate(s.values.values())]))) if s.values else F.lit("")
     return Scope({**ctx.outer, **s.values}, ctx.base, ctx.dataset.functions, lambda p: flags[repr(("exists", p))], aggregates or {}, row), s
 
 
-def exists(s: Solution, x, anti: bool, ctx: Context) -> Solution:
-    """Rows with (or without) a match; filters of the pattern that speak of outer variables join with the row."""
+def _flagged(s: Solution, x, ctx: Context) -> tuple[Column, Solution]:
+    """Rows with a flag that says whether the pattern matches: by one left join to the distinct keys of the matches
+    where keys decide alone, else as the rows with a match beside the others."""
+    name = fresh("exists")
+    rows, right, condition = _matches(s, x, ctx)
+    shared = _shared(rows, right)
+    if condition is None and shared and not any(n in rows.maybe or n in right.maybe for n in shared):
+        keys = distinct(right.only(shared))
+        on = reduce(lambda p, q: p & q, _alike(rows, keys, shared))
+        df = rows.df.join(keys.df.withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        return F.col(name), Solution(df, s.values, s.maybe)
+    yes, no = (semi_join(rows, right, anti, condition) for anti in (False, True))
+    return F.col(name), Solution(yes.df.withColumn(name, F.lit(True)).union(no.df.withColumn(name, F.lit(False))), s.values, s.maybe)
+
+
+def _matches(s: Solution, x, ctx: Context) -> tuple[Solution, Solution, Callable | None]:
+    """Rows, the solutions of an EXISTS pattern, and a condition on both, so that a semi join of them is the EXISTS.
+
+    Filters at the pattern's top that speak of the rows are that condition; whatever speaks of them further inside is
+    joined with their distinct bindings.
+    """
     conditions = []
     while isinstance(x, A.Filter):
         every = list(x.expr[1:]) if isinstance(x.expr, tuple) and x.expr[0] == "and" else [x.expr]
@@ -502,11 +592,18 @@ def exists(s: Solution, x, anti: bool, ctx: Context) -> Solution:
             x = A.Filter(x.pattern, ("and", *local) if len(local) > 1 else local[0])
             break
         x = x.pattern
-    right = pattern(x, replace(ctx, outer={}))
-    condition = None
-    if conditions:
-        condition = lambda values: reduce(lambda a, b: a & b, [T.ebv(evaluate(e, Scope({**ctx.outer, **values}, ctx.base, ctx.dataset.functions))) for e in conditions])
-    return semi_join(s, right, anti, condition)
+    domain = Domain(s)
+    right = pattern(x, replace(ctx, outer={}, domain=domain))
+    rows = domain.with_marks(s, domain.marked)
+    if not conditions:
+        return rows, right, None
+    return rows, right, lambda values: reduce(lambda a, b: a & b, [T.ebv(evaluate(e, Scope({**ctx.outer, **values}, ctx.base, ctx.dataset.functions))) for e in conditions])
+
+
+def exists(s: Solution, x, anti: bool, ctx: Context) -> Solution:
+    """Rows with (or without) a match."""
+    rows, right, condition = _matches(s, x, ctx)
+    return Solution(semi_join(rows, right, anti, condition).df, s.values, s.maybe)
 
 
 def filtered(s: Solution, e, ctx: Context, aggregates: dict[str, Value] | None = None) -> Solution:
@@ -530,7 +627,7 @@ def _aggregates(e) -> list[tuple]:
     return [x for a in e for x in _aggregates(a)] if isinstance(e, list) else []
 
 
-def _aggregate(e: tuple, s: Solution, scope: Scope) -> tuple[list[Column], Callable[[list[Column]], Value]]:
+def _aggregate(e: tuple, s: Solution, scope: Scope, strict: bool = False) -> tuple[list[Column], Callable[[list[Column]], Value]]:
     """Aggregate columns, and the value that their results give."""
     _, name, args, is_distinct, separator = e
     values = [evaluate(a, scope) for a in args]
@@ -555,37 +652,39 @@ def _aggregate(e: tuple, s: Solution, scope: Scope) -> tuple[list[Column], Calla
         else:
             by = F.when(v.col.isNotNull(), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(T.sort_key(v))]))
             out = (F.min_by if name == "min" else F.max_by)(v.box() if v.type == "lang" else v.col, by)
+            if strict and v.type == "term":
+                kind = F.when(T.number(v).isNotNull(), "number").otherwise(F.coalesce(v.col["dt"], v.col["kind"].cast("string")))
+                mixed = F.min(F.when(v.col.isNotNull(), kind)) != F.max(F.when(v.col.isNotNull(), kind))
+                out = F.when(F.coalesce(mixed, F.lit(False)), F.raise_error(F.lit(f"{name.upper()} over values of several kinds")).cast(T.TERM)).otherwise(out)
         kind = "term" if v.type == "lang" else v.type
         return [out], lambda c: Value(c[0], kind, v.template)
     # SUM and AVG: one value that is no number makes the result an error.
-    n = v.col if v.numeric else T.number(v)
-    good = F.count_if(n.isNull()) == 0
-    if is_distinct:
-        total, count = F.sum_distinct(n), F.count_distinct(n)
-    else:
-        total, count = F.sum(n), F.count(n)
-    if name == "sum":
-        kind = v.type if v.numeric else None
-        if kind:
-            zero = F.lit(0).cast("bigint" if kind == "integer" else "double")
-            return [F.when(good, F.coalesce(total, zero))], lambda c: Value(c[0], kind)
-        rank = F.max(_rank_of(v))
-        return [F.when(good, F.coalesce(total, F.lit(0.0))), F.coalesce(rank, F.lit(0))], _number_result
-    kind = "decimal" if v.type in ("integer", "decimal", "term") or not v.numeric else v.type
-    mean = total.cast("double") / F.when(count > 0, count)
-    return [F.when(good, F.coalesce(mean, F.lit(0.0)))], lambda c: Value(c[0], kind)
-
-
-def _rank_of(v: Value) -> Column:
-    from quadlight.functions.expressions import _rank
-
-    return _rank(v)
-
-
-def _number_result(c: list[Column]) -> Value:
-    from quadlight.functions.expressions import _number_term
+    add, count = (F.sum_distinct, F.count_distinct) if is_distinct else (F.try_sum, F.count)
+    if v.type in RANK_OF_DOUBLES:
+        zero = F.lit(0.0)
+        total = F.coalesce(add(v.col), zero) if name == "sum" else F.coalesce(add(v.col) / F.nullif(count(v.col), F.lit(0)), zero)
+        return [F.when(F.count_if(v.col.isNull()) == 0, total)], lambda c: Value(c[0], v.type)
+    if v.numeric:
+        good, total = F.count_if(v.col.isNull()) == 0, add(v.col)
+        if name == "sum":
+            zero = F.lit(0).cast("bigint" if v.type == "integer" else "decimal(1,0)")
+            return [F.when(good, F.coalesce(total, zero))], lambda c: Value(c[0], v.type)
+        mean = F.try_divide(total.cast("decimal(20,0)") if v.type == "integer" else total, count(v.col).cast("decimal(20,0)"))
+        return [F.when(good, F.coalesce(mean, F.lit(0).cast("decimal(1,0)")))], lambda c: Value(c[0], "decimal")
+    rank, number, n = _rank(v), T.number(v), count(v.col)
+    columns = [add(T.whole(v)), add(T.exact(v)), add(number), F.max(rank), F.count_if(rank.isNull() | number.isNull()), n]
+
+    def result(c: list[Column]) -> Value:
+        whole, exact, double, rank, bad, n = c
+        none, rank = F.coalesce(n, F.lit(0)) == 0, F.coalesce(rank, F.lit(0))
+        if name == "sum":
+            out = _number_term(F.when(none, F.lit(0).cast(T.WHOLE)).otherwise(whole), exact, double, rank)
+        else:
+            mean = F.try_divide(exact, n.cast("decimal(20,0)")).try_cast(T.DECIMAL)
+            out = _number_term(F.lit(0).cast(T.WHOLE), mean, F.try_divide(double, n.cast("double")), F.when(none, 0).otherwise(F.greatest(rank, F.lit(1))))
+        return Value(F.when(bad == 0, out.col), "term")
 
-    return _number_term(c[0], c[1])
+    return columns, result
 
 
 def grouped(q: A.Query, s: Solution, ctx: Context) -> tuple[Solution, dict[str, Value]]:
@@ -601,7 +700,7 @@ def grouped(q: A.Query, s: Solution, ctx: Context) -> tuple[Solution, dict[str,
     aggregated, results = [], {}
     for text, a in wanted.items():
         scope, s = _scope(s, a[2], ctx)
-        columns, result = _aggregate(a, s, scope)
+        columns, result = _aggregate(a, s, scope, ctx.strict)
         aliases = [fresh(a[1]) for _ in columns]
         aggregated += [c.alias(n) for c, n in zip(columns, aliases, strict=True)]
         results[text] = result([F.col(n) for n in aliases])
