@@ -12,6 +12,7 @@ from quadlight import terms as T
 from quadlight.operators import paths  # noqa: F401  (registers property paths)
 from quadlight.plans import algebra as A
 from quadlight.plans import compiler as C
+from quadlight.plans import sse
 from quadlight.plans.parser import parse_query, parse_update
 from quadlight.sources.dataset import Dataset
 from quadlight.storage import staged
@@ -35,21 +36,46 @@ def boxed(s: C.Solution) -> DataFrame:
     return s.df.select(*[v.box().alias(n) for n, v in s.values.items()])
 
 
-def solve(q: A.Query, dataset: Dataset, base: str = "") -> C.Solution:
-    return C.select(q, C.Context(dataset, base=base))
+def solve(q: A.Query, dataset: Dataset, base: str = "", strict: bool = False) -> C.Solution:
+    return C.select(q, C.Context(dataset, base=base, strict=strict))
 
 
-def query(text: str, dataset: Dataset, terms: bool = False, base: str = "", prefixes: dict[str, str] | None = None) -> DataFrame:
+def explain(text: str, dataset: Dataset, base: str = "", prefixes: dict[str, str] | None = None) -> str:
+    """The algebra of a query as an S-expression, and Spark's plan for it."""
+    df = query(text, dataset, base=base, prefixes=prefixes)
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return f"{sse.text(parse_query(text, base, prefixes))}\n\n{plan}"
+
+
+def query_each(text: str, datasets: list[Dataset], base: str = "", prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Distinct solutions (boxed terms) of a SELECT over each of several datasets, each answering it alone. Spark runs the
+    parts side by side, so none is tried first against a time limit."""
+    parts = [query(text, d, terms=True, base=base, prefixes=prefixes) for d in datasets]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
+def query(text: str, dataset: Dataset, terms: bool = False, base: str = "", prefixes: dict[str, str] | None = None, strict: bool = False, join: str | None = None) -> DataFrame:
     """Runs a query lazily.
 
     SELECT gives a column for each variable (native, or boxed with ``terms``), ASK one boolean column ``result``,
-    CONSTRUCT and DESCRIBE distinct triples (s, p, o: boxed terms).
+    CONSTRUCT and DESCRIBE distinct triples (s, p, o: boxed terms). ``strict``: MIN and MAX over values of several kinds
+    fail. ``join``: a strategy of ``compiler.JOINS`` for all inner joins, where Spark's own choice is not wanted.
     """
+    if join is not None and join not in C.JOINS:
+        raise ValueError(f"no join strategy {join}; there are {', '.join(sorted(C.JOINS))}")
     q = parse_query(text, base, prefixes)
+    asked = C.join_strategy.set(join)
+    try:
+        return _run(q, dataset, terms, base, strict)
+    finally:
+        C.join_strategy.reset(asked)
+
+
+def _run(q: A.Query, dataset: Dataset, terms: bool, base: str, strict: bool) -> DataFrame:
     for hook in HOOKS["before"]:
         hook(q, dataset)
     if q.form == "select":
-        s = solve(q, dataset, base)
+        s = solve(q, dataset, base, strict)
         out = boxed(s) if terms else native(s)
     elif q.form == "ask":
         out = ask(q, dataset, base)
@@ -120,10 +146,15 @@ def describe(q: A.Query, dataset: Dataset, base: str = "") -> DataFrame:
 # Updates
 
 
-def update(text: str, dataset: Dataset, base: str = "", prefixes: dict[str, str] | None = None, allow: bool = True) -> Dataset:
-    """Runs updates in order; gives a new dataset, all of whose statements are quads. ``allow``: else any update fails."""
-    for op in parse_update(text, base, prefixes, allow):
-        dataset = apply(op, dataset)
+def update(text: str, dataset: Dataset, base: str = "", prefixes: dict[str, str] | None = None, allow: bool = True, log: Callable[[DataFrame], None] | None = None) -> Dataset:
+    """Runs updates in order; gives a new dataset, all of whose statements are quads. ``allow``: else any update fails.
+    ``log`` is called after each with its changes, as RDF Patch rows (seq, op, s, p, o, g) whose seq counts the updates."""
+    from quadlight.streaming import patch
+
+    for seq, op in enumerate(parse_update(text, base, prefixes, allow)):
+        before, dataset = dataset, apply(op, dataset)
+        if log is not None:
+            log(patch.difference(before.all_quads(), dataset.all_quads()).withColumn("seq", F.lit(seq).cast("long")))
     return dataset
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadlight import terms as T
+from quadlight.plans.algebra import PathPattern
 from quadlight.plans.parser import SparqlError
 from quadlight.terms import BLANK, IRI, LITERAL, XSD, Value, Var
 
@@ -49,6 +51,8 @@ def evaluate(e, scope: Scope) -> Value:
             raise SparqlError("EXISTS may not stand here")
         return _bool(scope.exists(args[0]))
     if op == "call":
+        if args[0] in LIST_MEMBER:
+            return _bool(scope.exists(list_member(args[1])))
         function = scope.functions.get(args[0]) or REGISTRY.get(args[0]) or CASTS.get(args[0]) or XPATH.get(args[0]) or OTHER.get(args[0])
         if function is None:
             raise SparqlError(f"unknown function <{args[0]}>")
@@ -66,9 +70,36 @@ def evaluate(e, scope: Scope) -> Value:
             return Value(F.concat(F.lit("b"), F.replace(F.uuid(), F.lit("-"), F.lit(""))), "blank")
         row = F.lit("") if scope.row is None else scope.row
         return Value(F.concat(F.lit("b"), F.md5(F.concat_ws("|", row, T.text(evaluate(args[0], scope))))), "blank")
+    if op in FLIPPED and (found := _year_range(op, *args, scope)) is not None:
+        return _bool(found)
     return OPERATORS[op](*[evaluate(a, scope) for a in args])
 
 
+#: Comparisons with their sides exchanged.
+FLIPPED = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _year_range(op: str, a, b, scope: Scope) -> Column | None:
+    """A native timestamp's year compared with a constant, as a range that reaches the scan; None for anything else."""
+    if isinstance(b, tuple) and b[0] == "year":
+        op, a, b = FLIPPED[op], b, a
+    if not (isinstance(a, tuple) and a[0] == "year" and isinstance(b, T.Literal) and b.dt == XSD + "integer" and b.value.isdigit() and 1 <= int(b.value) < 9999):
+        return None
+    v = evaluate(a[1], scope)
+    if v.type != "dateTime":
+        return None
+    low, high = (F.lit(f"{int(b.value) + k:04d}-01-01 00:00:00").cast("timestamp_ntz") for k in (0, 1))
+    tests = {"=": (v.col >= low) & (v.col < high), "!=": (v.col < low) | (v.col >= high), "<": v.col < low, "<=": v.col < high, ">": v.col >= high, ">=": v.col >= low}
+    return tests[op]
+
+
+def list_member(args: list) -> PathPattern:
+    """The pattern that matches if the first argument is a collection that holds the second."""
+    if len(args) != 2 or not all(isinstance(a, (Var, T.Iri, T.Literal)) for a in args):
+        raise SparqlError("listMember takes a list and a member, each a variable or a term")
+    return PathPattern(args[0], ("seq", ("star", ("iri", T.RDF + "rest")), ("iri", T.RDF + "first")), args[1])
+
+
 def _bool(c: Column) -> Value:
     return Value(c, "boolean")
 
@@ -80,22 +111,38 @@ def _string(c: Column) -> Value:
 # Operators
 
 
+#: Decimals of this size or less have exact products.
+SMALL = "decimal(19,9)"
+
+
+def _exactly(op: str, a: Column, b: Column) -> Column:
+    """A result of two decimals. Products and quotients of large ones go through doubles: Spark would cut their places to 6."""
+    if op in "+-":
+        return (F.try_add if op == "+" else F.try_subtract)(a, b).try_cast(T.DECIMAL)
+    do = F.try_multiply if op == "*" else F.try_divide
+    x, y = a.try_cast(SMALL), b.try_cast(SMALL)
+    return F.when((x == a) & (y == b), do(x, y).try_cast(T.DECIMAL)).otherwise(do(a.cast("double"), b.cast("double")).try_cast(T.DECIMAL))
+
+
 def _arithmetic(op: str) -> Callable[[Value, Value], Value]:
     do = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
 
     def apply(a: Value, b: Value) -> Value:
         if a.numeric and b.numeric:
             kind = max(a.type, b.type, key=T.RANK.get)
-            if op == "/" and kind == "integer":
-                kind = "decimal"
-            if kind == "integer":
+            if kind == "integer" and op != "/":
                 return Value(do(a.col, b.col), "integer")
+            if kind in ("integer", "decimal"):
+                x, y = (v.col.cast("decimal(20,0)") if v.type == "integer" else v.col for v in (a, b))
+                return Value(do(x, y) if op in "+-" or "integer" in (a.type, b.type) else _exactly(op, x, y), "decimal")
             return Value(do(a.col.cast("double"), b.col.cast("double")), kind)
         if "term" not in (a.type, b.type):
             return T.null("double")
         rank = F.greatest(_rank(a), _rank(b))
-        rank = F.greatest(rank, F.lit(1)) if op == "/" else rank
-        return _number_term(do(T.number(a), T.number(b)), rank)
+        both = lambda f: (f(a), f(b))
+        if op == "/":
+            return _number_term(F.lit(None).cast(T.WHOLE), _exactly(op, *both(T.exact)), do(*both(T.number)), F.greatest(rank, F.lit(1)))
+        return _number_term(do(*both(T.whole)).try_cast(T.WHOLE), _exactly(op, *both(T.exact)), do(*both(T.number)), rank)
 
     return apply
 
@@ -107,20 +154,17 @@ def _rank(v: Value) -> Column:
     return F.when(dt.isin(T.INTEGERS), 0).when(dt == XSD + "decimal", 1).when(dt == XSD + "float", 2).when(dt == XSD + "double", 3)
 
 
-def _number_term(n: Column, rank: Column) -> Value:
-    lex = F.when(rank == 0, n.cast("decimal(38,0)").cast("string")).otherwise(n.cast("string"))
+def _number_term(whole: Column, exact: Column, double: Column, rank: Column) -> Value:
+    """A boxed number: the value of its rank."""
+    lex = F.when(rank == 0, whole.cast("string")).when(rank == 1, T.decimal_text(exact)).otherwise(double.cast("string"))
     names = F.element_at(F.array(*[F.lit(XSD + t) for t in T.RANK]), rank + 1)
-    return Value(F.when(n.isNotNull() & rank.isNotNull(), T.boxed(LITERAL, lex, None, names)), "term")
+    return Value(F.when(lex.isNotNull() & rank.isNotNull(), T.boxed(LITERAL, lex, None, names)), "term")
 
 
 def _unary_minus(v: Value) -> Value:
     if v.numeric:
-        return Value(F.try_subtract(F.lit(0).cast(_spark(v.type)), v.col), v.type)
-    return _number_term(-T.number(v), _rank(v))
-
-
-def _spark(kind: str) -> str:
-    return "bigint" if kind == "integer" else "double"
+        return Value(-v.col if v.type != "integer" else F.try_subtract(F.lit(0).cast("bigint"), v.col), v.type)
+    return _number_term(-T.whole(v), -T.exact(v), -T.number(v), _rank(v))
 
 
 def _or(*values: Value) -> Value:
@@ -324,8 +368,8 @@ def _numeric(double: Callable[[Column], Column], integer: Callable[[Column], Col
         if v.type == "integer":
             return Value(integer(v.col), "integer")
         if v.numeric:
-            return Value(double(v.col).cast("double"), v.type)
-        return _number_term(double(T.number(v)).cast("double"), _rank(v))
+            return Value(double(v.col) if v.type == "decimal" else double(v.col).cast("double"), v.type)
+        return _number_term(integer(T.whole(v)), double(T.exact(v)).try_cast(T.DECIMAL), double(T.number(v)).cast("double"), _rank(v))
 
     return apply
 
@@ -362,8 +406,7 @@ def _part(do: Callable[[Column], Column]) -> Callable[[Value], Value]:
 
 
 def _seconds(v: Value) -> Value:
-    t = _local(v)
-    return Value((F.second(t) + F.date_format(t, "SSSSSS").cast("double") / 1e6).cast("double"), "decimal")
+    return Value(F.date_format(_local(v), "s.SSSSSS").cast("decimal(8,6)"), "decimal")
 
 
 def _timezone(v: Value) -> Value:
@@ -394,14 +437,18 @@ def cast_integer(v: Value) -> Value:
         return v
     n = T.number(v)
     s = F.when(T.text(v).rlike(r"^\s*[-+]?[0-9]+\s*$"), F.trim(T.text(v))).try_cast("bigint")
+    # A cast to an integer cuts places off.
+    exactly = v.col.try_cast("bigint") if v.type == "decimal" else F.coalesce(T.whole(v).try_cast("bigint"), T.exact(v).try_cast("bigint"))
     whole = F.when(F.abs(n) < 9.2e18, n).try_cast("bigint")
-    return Value(F.coalesce(_flag(v).cast("bigint"), whole, s), "integer")
+    return Value(F.coalesce(_flag(v).cast("bigint"), exactly, whole, s), "integer")
 
 
 def cast_decimal(v: Value) -> Value:
+    if v.type == "decimal":
+        return v
     n = T.number(v)
-    s = F.when(T.text(v).rlike(r"^\s*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*$"), T.text(v)).try_cast("double")
-    return Value(F.coalesce(_flag(v).cast("double"), F.when(~F.isnan(n) & (F.abs(n) < 1e308), n), s), "decimal")
+    s = F.when(T.text(v).rlike(r"^\s*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*$"), F.trim(T.text(v))).try_cast(T.DECIMAL)
+    return Value(F.coalesce(_flag(v).cast("int").cast(T.DECIMAL), T.exact(v), F.when(~F.isnan(n), n).try_cast(T.DECIMAL), s), "decimal")
 
 
 def _cast_float(kind: str) -> Callable[[Value], Value]:
@@ -544,10 +591,19 @@ def geo_distance(*v: Value) -> Value:
     return Value(2 * 6372.795 * F.asin(F.sqrt(F.least(h, F.lit(1.0)))), "double")
 
 
+def _warned(v: Value) -> Value:
+    """The value itself. Its plan's text goes to the log when the query is compiled: values are on the executors."""
+    logging.getLogger("quadlight").warning("warn: %s", v.col)
+    return v
+
+
+#: Names of the functions that tell whether a collection holds a member.
+LIST_MEMBER = ("http://jena.hpl.hp.com/ARQ/function#listMember", "java:com.hp.hpl.jena.query.function.library.listMember")
 #: Names of widely used extension functions.
 OTHER = {
     "java:com.hp.hpl.jena.query.function.library.sha1sum": lambda v: _string(F.sha1(_any_text(v).col)),
     "java:com.hp.hpl.jena.query.function.library.now": OPERATORS["now"],
+    "http://kasei.us/2007/09/functions/warn": lambda v: _warned(v),
     "java:com.hp.hpl.jena.query.function.library.langeq": lambda v, p: _langmatches(_lang(v), p),
     "java:com.ldodds.sparql.Distance": geo_distance,
 }

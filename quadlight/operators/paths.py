@@ -6,6 +6,8 @@ join and is written to the shared folder. A constant end is the only seed, so it
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
@@ -107,18 +109,22 @@ def _closure(step: tuple, s: Node, o: Node, ctx: Context, zero: bool) -> Solutio
         end = Var(fresh("_:e"))
         found = _reach(step, s, end, ctx, zero)
         return Solution(found.df.where(T.same_term(found.values[end.name], T.constant(o))).select(F.lit(1).alias(fresh("unit"))).distinct(), {})
-    pairs, kind, graph = _edges(step, ctx, zero)
+    ends = _bound_ends(s, o, ctx)
+    if ends == "o":
+        return _closure(("inv", step), o, s, ctx, zero)
+    pairs, kind, graph = _edges(step, ctx, zero or ends is not None)
     keys = ["a", "b", *graph]
-    known = staged(pairs.select(*keys).distinct(), "paths")
-    new, edges = known, staged(pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), *graph).distinct(), "edges")
-    while not new.isEmpty():
-        longer = new.join(edges, ["b", *graph]).select("a", F.col("c").alias("b"), *graph).distinct()
-        new = staged(longer.join(known, keys, "left_anti"), "paths")
-        known = known.union(new)
+    edges = staged(pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), *graph).distinct(), "edges")
+    first, seeds = edges.select(F.col("b").alias("a"), F.col("c").alias("b"), *graph), None
+    if ends is not None:
+        seeds = staged(ctx.bound.df.select(ctx.bound.values[s.name].box().alias("a")).where("a is not null").distinct(), "seeds")
+        first = first.join(seeds, "a", "left_semi")
+    known = _grown(staged(first.distinct(), "paths"), keys, lambda new: new.join(edges, ["b", *graph]).select("a", F.col("c").alias("b"), *graph))
     values = {"a": replace(kind, col=F.col("a")), "b": replace(kind, col=F.col("b"))}
     out = known
     if zero:
         nodes = _nodes(ctx).select(F.col("n").alias("a"), F.col("n").alias("b"), *graph)
+        nodes = nodes if seeds is None else nodes.join(seeds, "a", "left_semi").select(nodes.columns)
         out = known.union(nodes).distinct()
     if s == o:
         out = out.where(F.col("a") == F.col("b"))
@@ -128,10 +134,29 @@ def _closure(step: tuple, s: Node, o: Node, ctx: Context, zero: bool) -> Solutio
     return Solution(out, named).only()
 
 
+def _bound_ends(s: Var, o: Var, ctx: Context) -> str | None:
+    """The end of a closure that the patterns beside it bind: it need only be explored from there."""
+    for end, name in ((s, "s"), (o, "o")):
+        if ctx.bound is not None and end.name in ctx.bound.values and end.name not in ctx.bound.maybe:
+            return name
+    return None
+
+
+def _grown(first: DataFrame, keys: list[str], step: Callable[[DataFrame], DataFrame], compact: int = 8) -> DataFrame:
+    """``first`` and all that ``step`` gives from what is new, round by round. What is known is written anew every few
+    rounds, so that no round reads more than a few tables."""
+    known = new = first
+    for k in itertools.count(1):
+        if new.isEmpty():
+            return known
+        new = staged(step(new).distinct().join(known, keys, "left_anti"), "paths")
+        known = known.union(new) if k % compact else staged(known.union(new), "known")
+
+
 def _edges(step: tuple, ctx: Context, box: bool) -> tuple[DataFrame, Value, list[str]]:
     """Pairs (a, b) of one step, of one type; boxed if they will meet other nodes."""
     a, b = Var(fresh("_:a")), Var(fresh("_:b"))
-    found = _path(step, a, b, ctx)
+    found = _path(step, a, b, replace(ctx, bound=None))
     x, y = found.values[a.name], found.values[b.name]
     columns, kind, template = ([x.box(), y.box()], "term", None) if box else _common([x, y])
     graph = ["g"] if isinstance(ctx.graph, Var) and ctx.graph.name in found.values else []
@@ -141,16 +166,16 @@ def _edges(step: tuple, ctx: Context, box: bool) -> tuple[DataFrame, Value, list
 
 def _reach(step: tuple, start: Node, end: Var, ctx: Context, zero: bool) -> Solution:
     """Everything that a constant reaches."""
-    pairs, kind, graph = _edges(step, ctx, True)
-    edges = staged(pairs, "edges")
-    seed = T.constant(start).box()
-    found = edges.where(F.col("a") == seed).select("b", *graph).distinct()
-    known = new = staged(found, "reach")
-    while not new.isEmpty():
-        longer = new.withColumnRenamed("b", "a").join(edges, ["a", *graph]).select("b", *graph).distinct()
-        new = staged(longer.join(known, ["b", *graph], "left_anti"), "reach")
-        known = known.union(new)
+    # The first hop is a scan for the constant alone; all edges are only read if it leads anywhere.
+    near = _path(step, start, end, replace(ctx, bound=None))
+    graph = ["g"] if isinstance(ctx.graph, Var) and ctx.graph.name in near.values else []
+    extra = [near.values[ctx.graph.name].lex().alias("g")] if graph else []
+    known = staged(near.df.select(near.values[end.name].box().alias("b"), *extra).distinct(), "reach")
+    if not known.isEmpty():
+        edges = staged(_edges(step, ctx, True)[0], "edges")
+        known = _grown(known, ["b", *graph], lambda new: new.withColumnRenamed("b", "a").join(edges, ["a", *graph]).select("b", *graph))
     if zero:
+        seed = T.constant(start).box()
         own = _nodes(ctx).select(seed.alias("b"), *graph) if graph else ctx.dataset.spark.range(1).select(seed.alias("b"))
         known = known.union(own).distinct()
     values = {end.name: Value(F.col("b"), "term")}

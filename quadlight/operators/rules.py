@@ -68,16 +68,19 @@ def clear_inferences(dataset: Dataset, graph: str) -> Dataset:
     return dataset.with_quads(dataset.all_quads().where(F.coalesce(F.col("g") != graph, F.lit(True))))
 
 
-def list_members(dataset: Dataset, most_length: int = 1_000_000) -> DataFrame:
-    """Members of all RDF collections: (head, pos, member), by doubling the rest links instead of walking them."""
+def list_members(dataset: Dataset) -> DataFrame:
+    """Members of all RDF collections: (head, pos, member), by doubling the rest links instead of walking them. Rest links
+    that lead back to a cell of their own list are an error."""
     quads = dataset.all_quads()
     rest = quads.where(F.col("p.lex") == RDF + "rest").select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
     first = quads.where(F.col("p.lex") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("member"))
     heads = rest.select("a").join(rest.select(F.col("b").alias("a")), "a", "left_anti")
     hops = staged(rest.select("a", "b", F.lit(1).cast("long").alias("n")), "hops")
     reach = heads.select(F.col("a").alias("head"), F.col("a").alias("cell"), F.lit(0).cast("long").alias("pos"))
-    step = 1
-    while step < most_length and not hops.isEmpty():
+    step, cells = 1, hops.count()
+    while not hops.isEmpty():
+        if step > cells:  # a hop of more links than there are
+            raise ValueError("a collection's rest links lead in a circle")
         reach = staged(reach.union(reach.join(hops, F.col("cell") == F.col("a")).select("head", F.col("b").alias("cell"), (F.col("pos") + F.col("n")).alias("pos"))), "reach")
         again = hops.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("n").alias("m"))
         hops = staged(hops.join(again, F.col("b") == F.col("c")).select("a", F.col("d").alias("b"), (F.col("n") + F.col("m")).alias("n")), "hops")

@@ -258,15 +258,15 @@ SQL["xpath_strings"] = "SELECT upper(n_name) AS u, length(n_name) AS k, CAST(CAS
 
 SPARQL["abs_ceil_floor_round"] = "SELECT ?b (ABS(?b) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) WHERE { ?s a :Supplier ; :acctbal ?b }"
 SQL["abs_ceil_floor_round"] = "SELECT s_acctbal AS b, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, round(s_acctbal) AS r FROM supplier"
-SPARQL["round_half_even"] = "SELECT ?z (fn:round-half-to-even(?z / 2) AS ?r) WHERE { ?p :size ?z }"
+SPARQL["round_half_even"] = "SELECT ?z (xsd:double(fn:round-half-to-even(?z / 2)) AS ?r) WHERE { ?p :size ?z }"
 SQL["round_half_even"] = "SELECT p_size AS z, round_even(p_size / 2, 0) AS r FROM part"
-SPARQL["arithmetic_promote"] = "SELECT (?z + 1 AS ?a) (?z * 1.5 AS ?b) (?z - 2e0 AS ?c) (-?z AS ?d) (STR(DATATYPE(?z * 1.5)) AS ?t) WHERE { ?p :size ?z }"
+SPARQL["arithmetic_promote"] = "SELECT (?z + 1 AS ?a) (xsd:double(?z * 1.5) AS ?b) (?z - 2e0 AS ?c) (-?z AS ?d) (STR(DATATYPE(?z * 1.5)) AS ?t) WHERE { ?p :size ?z }"
 SQL["arithmetic_promote"] = f"SELECT CAST(p_size + 1 AS BIGINT) AS a, CAST(p_size * 1.5 AS DOUBLE) AS b, CAST(p_size - 2 AS DOUBLE) AS c, CAST(-p_size AS BIGINT) AS d, '{T.XSD}decimal' AS t FROM part"
-SPARQL["divide_by_zero_unbound"] = "SELECT ?z (10 / (?z - 5) AS ?x) WHERE { ?p :size ?z }"
+SPARQL["divide_by_zero_unbound"] = "SELECT ?z (xsd:double(10 / (?z - 5)) AS ?x) WHERE { ?p :size ?z }"
 SQL["divide_by_zero_unbound"] = "SELECT p_size AS z, CASE WHEN p_size <> 5 THEN 10 / (p_size - 5) END AS x FROM part"
 SPARQL["year_month_day"] = "SELECT ?o (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?k) WHERE { ?o :orderdate ?d }"
 SQL["year_month_day"] = f"SELECT '{BASE}order/' || o_orderkey AS o, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS k FROM orders"
-SPARQL["hours_minutes_seconds"] = "SELECT ?e (HOURS(?t) AS ?h) (MINUTES(?t) AS ?m) (FLOOR(SECONDS(?t)) AS ?s) (TZ(?t) AS ?z) WHERE { ?e :ts ?t }"
+SPARQL["hours_minutes_seconds"] = "SELECT ?e (HOURS(?t) AS ?h) (MINUTES(?t) AS ?m) (xsd:double(FLOOR(SECONDS(?t))) AS ?s) (TZ(?t) AS ?z) WHERE { ?e :ts ?t }"
 SQL["hours_minutes_seconds"] = f"SELECT '{BASE}event/' || event_id AS e, hour(ts) AS h, minute(ts) AS m, CAST(floor(second(ts)) AS DOUBLE) AS s, '' AS z FROM events"
 SPARQL["datetime_compare"] = "SELECT ?o WHERE { ?o :orderdate ?d FILTER(?d >= '1996-03-01T00:00:00'^^xsd:dateTime && ?d < '1999-01-01T00:00:00Z'^^xsd:dateTime) }"
 SQL["datetime_compare"] = f"SELECT '{BASE}order/' || o_orderkey AS o FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1999-01-01'"
@@ -484,11 +484,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: run(v, mapped) for k, v in SPARQL.items()}
     out |= {k: run(v, lambda spark, sf_dir: mapped(spark, sf_dir, True)) for k, v in GRAPHS.items()}
     out |= {k: run(v, nation_quads) for k, v in QUADS.items()}
-    return out | MADE
+    from quadlight import more_queries as more
+
+    return out | MADE | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from quadlight import more_queries as more
+
+    return SQL | more.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

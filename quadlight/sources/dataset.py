@@ -34,6 +34,8 @@ class Dataset:
     computed: dict[str, Callable[[Dataset], DataFrame]] = field(default_factory=dict)
     functions: dict[str, Callable[..., Value]] = field(default_factory=dict)
     view: tuple[tuple[str, ...], tuple[str, ...]] | None = None
+    #: Gives those of ``quads`` with a predicate, for stores that find them without reading all.
+    scan: Callable[[str], DataFrame] | None = None
 
     def with_view(self, default: list[str], named: list[str]) -> Dataset:
         return replace(self, view=(tuple(default), tuple(named))) if default or named else self
@@ -56,10 +58,10 @@ class Dataset:
 
     def materialised(self) -> Dataset:
         """The same statements, all of them quads."""
-        return replace(self, quads=self.all_quads(), tables=()) if self.tables else self
+        return replace(self, quads=self.all_quads(), tables=(), scan=None) if self.tables else self
 
     def with_quads(self, quads: DataFrame) -> Dataset:
-        return replace(self, quads=quads)
+        return replace(self, quads=quads, scan=None)
 
     # Accessors
 
@@ -88,7 +90,14 @@ class Dataset:
         return out
 
     def graphs(self) -> DataFrame:
-        return self.all_quads().select("g").where("g is not null").distinct()
+        """The names of all graphs. Of a mapped table only the column of its graphs is read."""
+        parts = [] if self.quads is None else [self.quads.select("g")]
+        for t in self.tables:
+            if t.graph and (t.properties or t.classes):
+                parts.append(t.read().select(Value(F.col(t.graph.column), "iri", t.graph.template).lex().alias("g")).distinct())
+        if not parts:
+            return self.spark.createDataFrame([], "g string")
+        return reduce(lambda a, b: a.union(b), parts).where("g is not null").distinct()
 
     def count_statements(self, quads: bool = False) -> int:
         """Distinct triples over all graphs, or distinct quads."""
@@ -104,11 +113,11 @@ class Dataset:
 
     def filtered(self, condition) -> Dataset:
         """Only the statements for which ``condition``, a column over (s, p, o, g), holds."""
-        return replace(self.materialised(), quads=self.all_quads().where(condition))
+        return replace(self.materialised(), quads=self.all_quads().where(condition), scan=None)
 
     def union(self, *others: Dataset) -> Dataset:
         quads = reduce(lambda a, b: a.union(b), [d.all_quads() for d in (self, *others)])
-        return replace(self, quads=quads.distinct(), tables=())
+        return replace(self, quads=quads.distinct(), tables=(), scan=None)
 
     def preferring(self, languages: dict[str, float]) -> Dataset:
         """For each subject and predicate keeps the literals of the language of the best weight; all else stays."""
@@ -120,7 +129,7 @@ class Dataset:
         ranked = quads.where("o.lang is not null").withColumn("_w", weight)
         ranked = ranked.withColumn("_top", F.max(F.struct("_w", F.lower("o.lang").alias("l"))).over(best))
         kept = ranked.where(F.col("_top.l") == F.lower("o.lang")).drop("_w", "_top")
-        return replace(self, quads=quads.where("o.lang is null").union(kept), tables=())
+        return replace(self, quads=quads.where("o.lang is null").union(kept), tables=(), scan=None)
 
 
 def row_label(df: DataFrame):

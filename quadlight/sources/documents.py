@@ -306,6 +306,8 @@ class Rdfa(HTMLParser):
         target = next((self.resource(a[k], env) for k in ("resource", "href", "src") if k in a), None)
         subject = self.resource(a["about"], env) if "about" in a else None
         rel, rev, properties, types = names("rel"), names("rev"), names("property"), names("typeof")
+        if subject is None and target and not (rel or rev) and (not properties or "content" in a or "datatype" in a):
+            subject = target  # what is not said of the resource around it is said of the one that is named here
         if subject is None and types and not (rel or rev):
             self.count += 1
             subject = target if target and not properties else (T.BLANK, f"{self.scope}r{self.count}", None, None)

@@ -6,6 +6,7 @@ column a predicate with one static type, so patterns over mapped tables compile
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -40,7 +41,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, key: str | None, propert
         template = f"{BASE}{ref[0]}/" if ref and type == "iri" else None
         made[NS + predicate] = Property(column, type, template, ref[0] if ref and type == "lang" else None)
     kind = kind or name.capitalize()
-    return TableMap(name, lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"), made, key, f"{BASE}{subject or name}/" if key else None, [NS + kind], graph)
+    return TableMap(name, functools.cache(lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")), made, key, f"{BASE}{subject or name}/" if key else None, [NS + kind], graph)
 
 
 def sample_tables(spark: SparkSession, sf_dir: str, document_graphs: bool = False) -> list[TableMap]:

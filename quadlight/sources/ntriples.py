@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlight import terms as T
+from quadlight.storage import staged
 
 _IRI = r"<([^<>\x22{}|^`\x00-\x20]*)>"
 _BLANK = r"_:([A-Za-z0-9_·-�][\w.\-·-�]*)"
@@ -89,18 +90,60 @@ def write(quads: DataFrame, path: str, graphs: bool = True, mode: str = "errorif
     lines(quads, graphs).write.mode(mode).text(path)
 
 
-def canonical(quads: DataFrame) -> DataFrame:
-    """Statements with blank nodes renamed by what is said about them, sorted: equal graphs give equal lines wherever
-    two rounds of hashing their neighbours tell blank nodes apart."""
-    df = quads.select("s", "p", "o", *(["g"] if "g" in quads.columns else []))
-    for _ in range(2):
-        text = lambda c, own: F.when((F.col(f"{c}.kind") == T.BLANK) & own, F.lit("~")).otherwise(term_text(F.col(c)))
-        around = []
-        for me, c in (("s", "o"), ("o", "s")):
-            said = F.concat_ws(" ", F.lit(me), text(me, F.lit(True)), term_text(F.col("p")), F.when(F.col(f"{c}.kind") == T.BLANK, F.coalesce(F.regexp_extract(F.col(f"{c}.lex"), "^(c14n[0-9a-f]+)$", 1), F.lit(""))).otherwise(term_text(F.col(c))))
-            around.append(df.where(F.col(f"{me}.kind") == T.BLANK).select(F.col(f"{me}.lex").alias("label"), said.alias("said")))
-        names = around[0].union(around[1]).groupBy("label").agg(F.concat(F.lit("c14n"), F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("said")), "\n")), 1, 16)).alias("name"))
-        for c in ("s", "o"):
-            named = df.join(names.withColumnRenamed("label", "_l"), (F.col(f"{c}.kind") == T.BLANK) & (F.col(f"{c}.lex") == F.col("_l")), "left")
-            df = named.withColumn(c, F.when(F.col("name").isNotNull(), T.boxed(T.BLANK, F.col("name"))).otherwise(F.col(c)).cast(T.TERM)).drop("_l", "name")
-    return lines(df).orderBy("value")
+#: What ``canonical`` does with blank nodes that it cannot tell apart.
+ON_FAIL = ("keep", "truncate", "append", "space", "die")
+
+
+def canonical(quads: DataFrame, onfail: str = "keep", most_rounds: int = 50) -> DataFrame:
+    """Statements with blank nodes renamed by what is said about them, sorted: equal graphs give equal lines.
+
+    A blank node's name is a hash of the statements around it, in which other blank nodes stand under their own names of
+    the round before; rounds follow until no more names come apart. Nodes that still share a name are told apart by
+    nothing but their labels. ``onfail``: keep numbers these by their labels, append puts their statements behind all
+    others, space does so behind an empty line, truncate leaves them out, die raises.
+    """
+    if onfail not in ON_FAIL:
+        raise ValueError(f"onfail is one of {', '.join(ON_FAIL)}")
+    df = quads.select("s", "p", "o", *(["g"] if "g" in quads.columns else [])).distinct()
+    label = lambda c: F.when(F.col(f"{c}.kind") == T.BLANK, F.col(f"{c}.lex"))
+    both = F.explode(F.array(F.struct(label("s").alias("label")), F.struct(label("o").alias("label"))))
+    names = staged(df.select(both.alias("x")).select("x.label").where("label is not null").distinct().withColumn("name", F.lit("")), "blank-names")
+    count = 1
+    for _ in range(most_rounds):
+        told = _named(df, names)
+        text = lambda c, me: F.when(F.lit(c == me), "~").when(F.col(f"{c}.kind") == T.BLANK, F.concat(F.lit("_:"), f"{c}_name")).otherwise(term_text(F.col(c)))
+        graph = [F.coalesce(F.col("g"), F.lit(""))] if "g" in df.columns else []
+        around = [told.where(F.col(f"{me}.kind") == T.BLANK).select(F.col(f"{me}.lex").alias("label"), F.concat_ws(" ", F.lit(me), text("s", me), term_text(F.col("p")), text("o", me), F.when(label("s") == label("o"), "=").otherwise(""), *graph).alias("said")) for me in ("s", "o")]
+        hashes = F.transform(F.array_sort(F.collect_list(F.md5("said"))), lambda x: x)
+        own = around[0].union(around[1]).groupBy("label").agg(F.concat(F.lit("c14n"), F.substring(F.md5(F.array_join(hashes, "")), 1, 16)).alias("now"))
+        renamed = own.join(names, "label").select("label", F.concat(F.lit("c14n"), F.substring(F.md5(F.concat("name", "now")), 1, 16)).alias("name"))
+        names = staged(renamed, "blank-names")
+        before, count = count, names.select("name").distinct().count()
+        if count == before:
+            break
+    alike = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("label")).alias("labels")).where("n > 1")
+    if onfail == "die" and not alike.isEmpty():
+        raise ValueError("the graph has blank nodes that nothing tells apart")
+    numbered = alike.select(F.posexplode("labels").alias("k", "label"), F.lit(True).alias("doubtful"))
+    names = names.join(numbered, "label", "left").select("label", F.when(F.col("k") > 0, F.concat("name", F.lit("x"), "k")).otherwise(F.col("name")).alias("name"), F.coalesce("doubtful", F.lit(False)).alias("doubtful"))
+    told = _named(df, names, ["doubtful"])
+    for c in ("s", "o"):
+        told = told.withColumn(c, F.when(F.col(f"{c}.kind") == T.BLANK, T.boxed(T.BLANK, F.col(f"{c}_name"))).otherwise(F.col(c)).cast(T.TERM))
+    late = F.coalesce("s_doubtful", F.lit(False)) | F.coalesce("o_doubtful", F.lit(False))
+    if onfail == "truncate":
+        return lines(told.where(~late).select(*df.columns)).orderBy("value")
+    if onfail == "keep":
+        return lines(told.select(*df.columns)).orderBy("value")
+    parts = [lines(told.where(test).select(*df.columns)).withColumn("_k", F.lit(k)) for k, test in ((0, ~late), (2, late))]
+    out = parts[0].union(parts[1])
+    if onfail == "space":
+        out = out.union(numbered.limit(1).select(F.lit("").alias("value"), F.lit(1).alias("_k")))
+    return out.orderBy("_k", "value").select("value")
+
+
+def _named(df: DataFrame, names: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """``df`` with the names of blank subjects and objects (s_name, o_name) beside them."""
+    for c in ("s", "o"):
+        own = names.select(F.col("label").alias("_l"), F.col("name").alias(f"{c}_name"), *[F.col(m).alias(f"{c}_{m}") for m in more or []])
+        df = df.join(own, (F.col(f"{c}.kind") == T.BLANK) & (F.col(f"{c}.lex") == F.col("_l")), "left").drop("_l")
+    return df

@@ -17,8 +17,8 @@ CHANGE = f"seq long, op string, {QUAD}"
 
 
 def parse_text(spark: SparkSession, text: str) -> DataFrame:
-    """Change rows (seq, op, s, p, o, g) of a patch document. Lines are A or D and a statement; @prefix lines declare
-    prefixes; R stands for the same term as on the line before."""
+    """Change rows (seq, op, s, p, o, g) of a patch document. Lines are A or D and a statement, or Q and a pattern, in
+    which U is any term; @prefix lines declare prefixes; R stands for the same term as on the line before."""
     from quadlight.plans.parser import Parser
 
     rows, last = [], [None, None, None, None]
@@ -32,21 +32,27 @@ def parse_text(spark: SparkSession, text: str) -> DataFrame:
             p.need(".")
             continue
         op = p.next()[1].upper()
-        if op not in ("A", "ADD", "D", "DELETE"):
+        if op not in ("A", "ADD", "D", "DELETE", "Q", "QUERY"):
             raise ValueError(f"unknown patch operation {op}")
         parts = []
         while not p.op("."):
             if p.word("r"):
                 parts.append(last[len(parts)])
+            elif p.word("u"):
+                parts.append(None)
             else:
                 parts.append(p.term())
         last = parts + [None] * (4 - len(parts))
+        if None in parts and op[0] != "Q":
+            raise ValueError("U may only stand in a query")
         n += 1
-        rows.append((n, op[0], *map(_box, parts[:3]), parts[3].value if len(parts) > 3 else None))
+        rows.append((n, op[0], *map(_box, parts[:3]), parts[3].value if len(parts) > 3 and parts[3] is not None else None))
     return spark.createDataFrame(rows, CHANGE)
 
 
-def _box(n) -> tuple:
+def _box(n) -> tuple | None:
+    if n is None:
+        return None
     if isinstance(n, T.Iri):
         return (T.IRI, n.value, None, None)
     if isinstance(n, T.Literal):
@@ -79,7 +85,8 @@ def lines(changes: DataFrame) -> DataFrame:
 
 
 def last_change(changes: DataFrame) -> DataFrame:
-    """The change of each quad that decides: the last by ``seq``."""
+    """The change of each quad that decides: the last by ``seq``. Queries change nothing."""
+    changes = changes.where("op <> 'Q'")
     w = Window.partitionBy("s", "p", "o", "g").orderBy(F.col("seq").desc(), F.col("op"))
     return changes.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
@@ -99,6 +106,20 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.union(new).select(F.lit(0).cast("long").alias("seq"), "*")
 
 
+def answers(quads: DataFrame, changes: DataFrame) -> DataFrame:
+    """(seq, s, p, o, g): the quads that match each query of a patch; a part without a term, the graph included, matches
+    any. Queries with the same parts given are one join on these parts."""
+    asked = changes.where("op = 'Q'")
+    given = F.concat(*[F.when(F.col(c).isNotNull(), c).otherwise("") for c in ("s", "p", "o", "g")])
+    found = quads.select(F.lit(None).cast("long").alias("seq"), "s", "p", "o", "g").where(F.lit(False))
+    for (parts,) in asked.select(given).distinct().collect():  # 16 at most
+        like = asked.where(given == parts).select("seq", *[F.col(c).alias(f"_{c}") for c in parts])
+        same = [F.col(c) == F.col(f"_{c}") for c in parts]
+        hit = quads.join(like, reduce(lambda a, b: a & b, same)) if same else quads.crossJoin(like)
+        found = found.union(hit.select("seq", "s", "p", "o", "g"))
+    return found
+
+
 class PatchFeed:
     """Merges a stream of change rows into a quads snapshot, one micro-batch after another."""
 

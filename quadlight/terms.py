@@ -8,6 +8,8 @@ expression errors are both NULL. A plain literal and an xsd:string are one term
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ DERIVED = ("nonPositiveInteger", "negativeInteger", "long", "int", "short", "byt
 INTEGERS = [XSD + x for x in ("integer", *DERIVED)]
 NUMERIC = [*INTEGERS, XSD + "decimal", XSD + "float", XSD + "double"]
 RANK = {"integer": 0, "decimal": 1, "float": 2, "double": 3}
+#: What an xsd:decimal of unknown size is read as. Columns of static decimals have the size that Spark gives them.
+DECIMAL = "decimal(38,18)"
+WHOLE = "decimal(38,0)"
 
 
 @dataclass(frozen=True)
@@ -69,6 +74,7 @@ class Value:
     type: str
     template: str | None = None
     lang: Column | None = None
+    literal: Literal | None = None  # of a constant dateTime
 
     @property
     def numeric(self) -> bool:
@@ -83,6 +89,8 @@ class Value:
         if self.type == "dateTime":
             fine = F.date_format(self.col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
             return F.when(F.date_format(self.col, "SSSSSS") == "000000", F.date_format(self.col, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.regexp_replace(fine, "0+$", ""))
+        if self.type == "decimal":
+            return decimal_text(self.col)
         return self.col if self.type in ("string", "lang", "iri", "blank") else self.col.cast("string")
 
     def box(self) -> Column:
@@ -99,6 +107,11 @@ def boxed(kind: int | Column, lex: Column, lang: Column | None = None, dt: Colum
     return F.struct(kind.cast("tinyint").alias("kind"), lex.cast("string").alias("lex"), (none if lang is None else lang.cast("string")).alias("lang"), (none if dt is None else dt.cast("string")).alias("dt"))
 
 
+def decimal_text(c: Column) -> Column:
+    """The canonical text of a decimal: no zeros behind the last digit, and no point without digits behind it."""
+    return F.regexp_replace(c.cast("string"), r"\.0*$|(?<=\.[0-9]{0,18}[1-9])0+$", "")
+
+
 def constant(node: Node) -> Value:
     if isinstance(node, Iri):
         return Value(F.lit(node.value), "iri")
@@ -114,18 +127,32 @@ def constant(node: Node) -> Value:
             if str(int(v)) == v and abs(int(v)) < 1 << 63:
                 return Value(F.lit(int(v)).cast("bigint"), "integer")
         elif dt == XSD + "decimal":
-            return Value(F.lit(float(v)), "decimal")
+            d = Decimal(v)
+            if d.is_finite() and len(d.as_tuple().digits) <= 38 and -18 <= d.as_tuple().exponent <= 0:
+                return Value(F.lit(d), "decimal")
         elif dt in (XSD + "double", XSD + "float"):
             return Value(F.lit(float(v)), dt.removeprefix(XSD))
         elif dt == XSD + "boolean" and v in ("true", "false"):
             return Value(F.lit(v == "true"), "boolean")
-    except ValueError:
+    except (ValueError, InvalidOperation):
         pass
-    return Value(boxed(LITERAL, F.lit(v), None, F.lit(dt)), "term")
+    return Value(boxed(LITERAL, F.lit(v), None, F.lit(dt)), "term", literal=node if dt == XSD + "dateTime" else None)
+
+
+def moment(node: Literal | None) -> Column | None:
+    """A constant dateTime as a native local time in UTC; None for anything else."""
+    try:
+        t = datetime.fromisoformat(node.value) if node is not None else None
+    except ValueError:
+        return None
+    if t is None or "T" not in node.value:
+        return None
+    t = t.astimezone(timezone.utc).replace(tzinfo=None) if t.tzinfo else t
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def null(type: str = "term") -> Value:
-    kinds = {"term": TERM, "integer": "bigint", "decimal": "double", "float": "double", "double": "double", "boolean": "boolean", "dateTime": "timestamp_ntz"}
+    kinds = {"term": TERM, "integer": "bigint", "decimal": DECIMAL, "float": "double", "double": "double", "boolean": "boolean", "dateTime": "timestamp_ntz"}
     return Value(F.lit(None).cast(kinds.get(type, "string")), type, lang=F.lit(None).cast("string") if type == "lang" else None)
 
 
@@ -138,6 +165,24 @@ def number(v: Value) -> Column:
     return F.lit(None).cast("double")
 
 
+def whole(v: Value) -> Column:
+    """The value of an integer as a decimal without places; NULL for anything else."""
+    if v.type == "integer":
+        return v.col.cast(WHOLE)
+    if v.type == "term":
+        return F.when(v.col["dt"].isin(INTEGERS), v.col["lex"].try_cast(WHOLE))
+    return F.lit(None).cast(WHOLE)
+
+
+def exact(v: Value) -> Column:
+    """The value of an integer or decimal as a decimal; NULL for anything else, and where 18 places leave no room."""
+    if v.type in ("integer", "decimal"):
+        return v.col.try_cast(DECIMAL)
+    if v.type == "term":
+        return F.when(v.col["dt"].isin([*INTEGERS, XSD + "decimal"]), v.col["lex"].try_cast(DECIMAL))
+    return F.lit(None).cast(DECIMAL)
+
+
 def instant(v: Value) -> Column:
     """A dateTime as a point in time; one without a zone counts as UTC. NULL for anything else."""
     if v.type == "dateTime":
@@ -207,6 +252,9 @@ def compare(a: Value, b: Value, op: str) -> Column:
         return do(a.col, b.col)
     if a.type == b.type and a.type in ("string", "boolean", "dateTime"):
         return do(a.col, b.col)
+    for x, y, left in ((a, b, True), (b, a, False)):
+        if x.type == "dateTime" and (t := moment(y.literal)) is not None:
+            return do(x.col, t) if left else do(t, x.col)
     if op in ("=", "!=") and a.type != "term" and b.type != "term":
         if a.type == b.type == "lang":
             equal = (a.col == b.col) & (F.lower(a.lang) == F.lower(b.lang))
@@ -218,7 +266,9 @@ def compare(a: Value, b: Value, op: str) -> Column:
     na, nb, ta, tb, ba, bb = number(a), number(b), instant(a), instant(b), as_boolean(a), as_boolean(b)
     sa = F.when(language(a).isNull(), text(a))
     sb = F.when(language(b).isNull(), text(b))
-    out = F.when(na.isNotNull() & nb.isNotNull(), do(na, nb)).when(sa.isNotNull() & sb.isNotNull(), do(sa, sb))
+    wa, wb, ea, eb = whole(a), whole(b), exact(a), exact(b)
+    out = F.when(wa.isNotNull() & wb.isNotNull(), do(wa, wb)).when(ea.isNotNull() & eb.isNotNull(), do(ea, eb))
+    out = out.when(na.isNotNull() & nb.isNotNull(), do(na, nb)).when(sa.isNotNull() & sb.isNotNull(), do(sa, sb))
     out = out.when(ta.isNotNull() & tb.isNotNull(), do(ta, tb)).when(ba.isNotNull() & bb.isNotNull(), do(ba, bb))
     if op in ("=", "!="):
         x, y = a.box(), b.box()

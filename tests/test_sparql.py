@@ -1,5 +1,7 @@
 """Queries over small graphs, expected rows worked out by hand from the W3C recommendation."""
 
+from decimal import Decimal
+
 import pytest
 
 from quadlight.engine import query, update
@@ -29,7 +31,8 @@ def data(spark):
 
 
 def rows(df):
-    return sorted((tuple(None if v is None else str(v) for v in r) for r in df.collect()), key=repr)
+    text = lambda v: f"{v.normalize():f}" if isinstance(v, Decimal) else str(v)
+    return sorted((tuple(None if v is None else text(v) for v in r) for r in df.collect()), key=repr)
 
 
 def ask(data, text):
@@ -54,7 +57,6 @@ X = "http://x/"
         ("SELECT ?p WHERE { ?p :name ?n FILTER(STR(?n) = 'Bob' && LANGMATCHES(LANG(?n), '*')) }", [(X + "bob",)]),
         ("SELECT ?v WHERE { ?v :val ?x FILTER(?x = 1) }", [(X + "v1",), (X + "v2",), (X + "v3",)]),
         ("SELECT ?v WHERE { ?v :val ?x FILTER(sameTerm(?x, 1)) }", [(X + "v1",)]),
-        ("SELECT ?v WHERE { ?v :val ?x FILTER(?x != 1) }", []),
         ("SELECT ?v WHERE { ?v :val ?x FILTER(?x) }", [(X + f"v{i}",) for i in (1, 2, 3, 4, 7)]),
         ("SELECT ?v WHERE { ?v :val ?x FILTER(!?x) }", [(X + "v8",), (X + "v9",)]),
         ("SELECT (COUNT(DISTINCT ?x) AS ?n) WHERE { ?v :val ?x }", [("9",)]),
@@ -66,7 +68,6 @@ X = "http://x/"
         ("SELECT ?a WHERE { ?a :knows+ :carol }", [(X + "alice",), (X + "bob",)]),
         ("SELECT ?b WHERE { :alice :knows? ?b }", [(X + "alice",), (X + "bob",), (X + "carol",)]),
         ("SELECT ?b WHERE { :alice (:knows|:mbox) ?b }", [(X + "bob",), (X + "carol",), ("mailto:a@x",)]),
-        ("SELECT ?b WHERE { :carol !(:name|:age|^:knows) ?b }", []),
         ("ASK { :alice :knows+ :carol }", [("True",)]),
         ("ASK { :carol :knows+ :alice }", [("False",)]),
         ("SELECT ?g ?o WHERE { GRAPH ?g { :s :p ?o } }", [(X + "g1", "1"), (X + "g2", "1")]),
@@ -84,19 +85,24 @@ X = "http://x/"
     ],
 )
 def test_select(data, text, expected):
-    if "?x != 1" in text:  # unknown types and other kinds of literals are errors, unless terms must differ
-        found = {r[0] for r in ask(data, text)}
-        assert X + "v9" in found and X + "v6" in found and not found & {X + "v1", X + "v2", X + "v3", X + "v5"}
-        return
-    if "!(:name" in text:
-        assert {r[0] for r in ask(data, text)} == {"C"} | {r[0] for r in ask(data, "SELECT ?s WHERE { ?s ?p :carol FILTER(?p != :knows) }")}
-        return
     assert ask(data, text) == sorted(expected, key=repr)
 
 
+def test_not_equal_of_unlike_terms(data):
+    """Unknown types and other kinds of literals are errors, unless the terms must differ."""
+    found = {r[0] for r in ask(data, "SELECT ?v WHERE { ?v :val ?x FILTER(?x != 1) }")}
+    assert X + "v9" in found and X + "v6" in found and not found & {X + "v1", X + "v2", X + "v3", X + "v5"}
+
+
+def test_negated_path_both_ways(data):
+    """Forward any predicate but two, backward any but one: carol's nick, and nobody but those who know carol points at her."""
+    assert ask(data, "SELECT ?b WHERE { :carol !(:name|:age|^:knows) ?b }") == [("C",)]
+
+
 def test_order_by_rank(data):
-    df = query(P + "SELECT ?x WHERE { { BIND(1 AS ?z) } UNION { VALUES ?x { 'b' 2 :i } } } ORDER BY ?x", data)
-    assert [r[0] for r in df.collect()] == [None, X + "i", "b", "2"] or [r[0] for r in df.collect()][:2] == [None, X + "i"]
+    """Unbound, IRIs, then literals: texts have no number and stand before numbers."""
+    df = query(P + "SELECT ?x WHERE { { BIND(1 AS ?z) } UNION { VALUES ?x { 'b' 2 :i 10 'a' } } } ORDER BY ?x", data)
+    assert [r[0] for r in df.collect()] == [None, X + "i", "a", "b", "2", "10"]
 
 
 def test_construct_and_describe(data):
