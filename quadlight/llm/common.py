@@ -1,13 +1,14 @@
 """Helpers shared by the training-data operators.
 
 Scratch tables are Parquet files below ``spark.checkpoint.dir``, the one folder that the driver and all executors
-share: an executor that is lost takes nothing with it. A folder of our own is set only where none is configured.
+share: an executor that is lost takes nothing with it. Only a session without executors of its own may leave it unset.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadlight-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -59,6 +62,16 @@ def release(spark: SparkSession, owner: str = "") -> None:
         remove(spark, path)
 
 
+def under_own_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with numbered column names, which no column of an operator has, and the old name of each."""
+    names = {f"_c{i}": c for i, c in enumerate(df.columns)}
+    return df.toDF(*names), names
+
+
+def under_old_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(c) for k, c in names.items()])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -87,8 +100,22 @@ def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = stop
 
 
+#: Rows that Spark sends a worker at once, and Spark's own number, which is meant for rows of numbers.
+BATCH_ROWS, SPARK_ROWS = 1000, "10000"
+
+
+def small_batches(spark: SparkSession | None) -> None:
+    """Whole texts go to the workers a thousand at a time, if the session leaves Spark's own number as it is: ten thousand
+    long texts would take gigabytes on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(key, SPARK_ROWS) == SPARK_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow, after which the worker gives freed memory back: workers live on for later stages."""
+    """``run`` for mapInArrow in small batches, after which the worker gives freed memory back: workers live on for later
+    stages."""
+    small_batches(SparkSession.getActiveSession())
 
     def whole(batches: Iterator) -> Iterator:
         try:

@@ -328,6 +328,7 @@ def decontaminate(
     most_sample: int = 2000,
     least_cosine: float = 0.5,
     slice_bytes: int = 4 << 20,
+    owner: str = "",
 ) -> DataFrame:
     """Each row of ``docs`` (id_col and the columns ``keep``) with contaminated, item_id, cosine, lcs and answer.
 

@@ -165,7 +165,14 @@ def _columns(text_col: str) -> list[Column]:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = 4000, most_pool: int = 4000) -> Model:
-    """Co-trains on labelled rows where ``allowed`` and on rows without a label."""
+    """Co-trains on labelled rows where ``allowed`` and on rows without a label, the first by the hash of their id.
+
+    Ids are of any type with an order and a text; ties of the hash go by the id. A label other than 0 and 1 counts as none,
+    of several labels of an id the least holds, of several rows one. Null ids are not learnt from, null texts are empty,
+    null metadata is a value of its own. Without labels every row scores 0.5, with one label alone that one. Extra columns
+    are ignored.
+    """
+    docs = docs.select(id_col, text_col, "source", "lang", "n_chars")
     order = [F.xxhash64(id_col), F.col(id_col)]
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     known = one.where(allowed).orderBy(*order).limit(most_labelled)
@@ -178,8 +185,10 @@ def fit_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str
             blob = lambda rows: pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blob(text), blob(meta)], ["id", "label", "text", "meta"])
 
-    rows = docs.join(picked, id_col).select(F.col(id_col).cast("long"), F.col("_label").cast("int"), *_columns(text_col))
-    taken = sorted(tuple(r) for r in rows.mapInArrow(trimmed(run), "id long, label int, text binary, meta binary").collect())
+    # Of repeated ids one row is kept before anything is collected.
+    whole = F.struct(F.col("_label").cast("int").alias("_label"), *_columns(text_col))
+    rows = docs.join(picked, id_col).select(F.col(id_col).cast("string").alias("_key"), whole.alias("_r")).groupBy("_key").agg(F.min("_r").alias("_r")).select("_key", "_r.*")
+    taken = sorted(tuple(r) for r in rows.mapInArrow(trimmed(run), "id string, label int, text binary, meta binary").collect())
     read = lambda k: [np.frombuffer(r[k], "<i4").astype(np.int64) for r in taken]
     return co_train(read(2), read(3), np.array([r[1] for r in taken], np.int64))
 

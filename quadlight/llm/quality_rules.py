@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlight.llm.common import SPACE_PATTERN, WORD_PATTERN, staged
+from quadlight.llm.common import SPACE_PATTERN, WORD_PATTERN, staged, under_old_names, under_own_names
 
 SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -149,8 +149,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Rows are written once with their statistics: a filter on these would else be pushed below them, and every text
     statistic computed again for each rule that reads it.
     """
-    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.toDF(*own.values())
+    inner, names = under_own_names(docs)
+    own = {c: k for k, c in names.items()}
     stats = staged(statistics(inner, own[id_col], own[text_col], inner.columns), "quality", owner)
-    good = apply_rules(stats, fit_rules(stats), least).where("kept")
-    return good.select(*[F.col(k).alias(c) for c, k in own.items()])
+    return under_old_names(apply_rules(stats, fit_rules(stats), least).where("kept"), names)

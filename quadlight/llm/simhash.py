@@ -14,7 +14,7 @@ compared. Equal fingerprints are one node, so exact copies cost nothing however
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +29,8 @@ BITS = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Hash values whose bits are counted at a time.
 STEP = 1 << 16
+#: Crowded buckets whose numbers are broadcast (24 bytes each).
+MOST_CROWDS = 1 << 18
 
 
 def _digests(text: bytes, shingle: int, seed: int) -> Iterator[bytes]:
@@ -65,13 +67,16 @@ def many_fingerprints(texts: list[bytes | None], shingle: int = 3, seed: int = 4
         for x in (held, at, sizes):
             x.clear()
 
+    filled = 0
     for i, text in enumerate(texts):
         for part in _digests(text or b"", shingle, seed):
             held.append(part)
             at.append(i)
             sizes.append(len(part) // 8)
-            if sum(sizes) >= STEP:
+            filled += sizes[-1]
+            if filled >= STEP:
                 count()
+                filled = 0
     count()
     return np.packbits(2 * sums > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
@@ -96,10 +101,11 @@ def block_masks(radius: int, agree: int = 2) -> list[int]:
     return [sum(block[i] for i in pick) for pick in combinations(range(n), agree)]
 
 
-def bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, radius: int, label: np.ndarray | None = None, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (i < j) within ``radius`` whose rows share a group; rows of a group stand together.
 
-    ``side``: None to compare all pairs, else only those with side 0 on the left and side 1 on the right.
+    ``side``: None to compare all pairs, else only those with side 0 on the left and side 1 on the right. ``label``: pairs
+    of one label are left out. ``most``: words of lanes that are counted at a time.
     """
     n = len(fp)
     lanes = np.concatenate((fp, np.zeros(-n % BITS, np.uint64)))
@@ -117,7 +123,6 @@ def bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, rad
     ones = None if side is None else np.packbits(np.concatenate((side, np.zeros(-n % BITS, side.dtype))).astype(np.uint8), bitorder="little").view("<u8")
     out_a, out_b = [], []
     per = (last - 1) // BITS - start // BITS + 1
-    most = 1 << 19
     total = np.cumsum(per[queries])
     cuts = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(most, total[-1], most)), [len(queries)])))
     for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -151,6 +156,8 @@ def bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, rad
             cell, lane = np.nonzero(hit)
             a, b = qi[cell], wi[cell] * BITS + lane
             near = np.bitwise_count(fp[a] ^ fp[b]) <= radius  # counters of a radius that is no power of two less one
+            if label is not None:
+                near &= label[a] != label[b]
             out_a.append(a[near])
             out_b.append(b[near])
     if not out_a:
@@ -203,6 +210,12 @@ def _links_in_order(radius: int, masks: list[int]):
             a, b = used[label[child]], used[child]
         return pa.RecordBatch.from_arrays([pa.array(rows["fp"][a]), pa.array(rows["fp"][b])], ["a", "b"])
 
+    return in_whole_buckets(solve)
+
+
+def in_whole_buckets(solve: Callable[[dict[str, np.ndarray]], pa.RecordBatch], enough: int = 40_000) -> Callable[[Iterator], Iterator]:
+    """Reads rows sorted by bucket and tile (t, key, ca, cb) and gives whole buckets to ``solve``, some at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         size = 0
@@ -212,15 +225,15 @@ def _links_in_order(radius: int, masks: list[int]):
                 continue
             held.append({k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(batch.schema.names)})
             size += batch.num_rows
-            if size < 40_000:
+            if size < enough:
                 continue
             rows = join(held)
             last = {k: rows[k][-1] for k in ("t", "key", "ca", "cb")}
-            whole = np.zeros(len(rows["fp"]), bool)
+            whole = np.zeros(len(rows["t"]), bool)
             for k, v in last.items():
                 whole |= rows[k] != v
             held = [{k: v[~whole] for k, v in rows.items()}]
-            size = len(held[0]["fp"])
+            size = len(held[0]["t"])
             if whole.any():
                 yield solve({k: v[whole] for k, v in rows.items()})
         if size:
@@ -229,6 +242,32 @@ def _links_in_order(radius: int, masks: list[int]):
     return run
 
 
+def in_tiles(dealt: DataFrame, tile: int, owner: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (t, key, fp and others) with ca, cb and side, repartitioned and sorted for ``in_whole_buckets``: buckets of up to
+    ``tile`` rows whole, and what is more in pairs of chunks, all of which meet in some task; None if there are none.
+
+    The numbers of crowded buckets are dealt to the rows by a broadcast join: each stands for over ``tile`` rows, and past
+    ``MOST_CROWDS`` of them the rows of a bucket are first dealt over salts.
+    """
+    rest = [c for c in dealt.columns if c not in ("t", "key")]
+    crowd = dealt.groupBy("t", "key").count().where(F.col("count") > tile)
+    crowd = staged(crowd.select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("chunks")), "crowds", owner)
+    none, n = F.lit(0), crowd.count()
+    if n <= MOST_CROWDS:
+        marked = dealt.join(F.broadcast(crowd), ["t", "key"], "left")
+    else:
+        salted = crowd.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
+        marked = dealt.withColumn("_s", F.pmod(F.xxhash64("fp"), F.lit(16)).cast("int")).join(salted, ["t", "key", "_s"], "left").drop("_s")
+    cold = marked.where("chunks is null").select("t", "key", none.alias("ca"), none.alias("cb"), none.alias("side"), *rest)
+    cold = cold.repartition("t", "key").sortWithinPartitions("t", "key")
+    if not n:
+        return cold, None
+    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    hot = marked.where("chunks is not null").select("t", "key", *rest, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    hot = hot.select("t", "key", F.least("mine", "other").alias("ca"), F.greatest("mine", "other").alias("cb"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), *rest)
+    return cold, hot.repartition("t", "key", "ca", "cb").sortWithinPartitions("t", "key", "ca", "cb", "side")
+
+
 def near_links(nodes: DataFrame, radius: int = 3, agree: int = 2, tile: int = 4096, owner: str = "") -> DataFrame:
     """Links (a, b) between distinct fingerprints ``nodes.fp`` that connect all pairs within ``radius``.
 
@@ -239,20 +278,10 @@ def near_links(nodes: DataFrame, radius: int = 3, agree: int = 2, tile: int = 40
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.array(*[F.struct(F.lit(i).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(keys).alias("x")).select("x.t", "x.key", "fp")
-    crowd = dealt.groupBy("t", "key").count().where(F.col("count") > tile)
-    crowd = staged(crowd.select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("chunks")), "crowds", owner)
-    none = F.lit(0)
-    cold = dealt.join(crowd, ["t", "key"], "left_anti").select("t", "key", none.alias("ca"), none.alias("cb"), none.alias("side"), "fp")
-    cold = cold.repartition("t", "key").sortWithinPartitions("t", "key")
     find = _links_in_order(radius, masks)
+    cold, hot = in_tiles(dealt, tile, owner)
     links = cold.mapInArrow(trimmed(find), "a long, b long")
-    if crowd.isEmpty():
-        return links
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    hot = dealt.join(crowd, ["t", "key"]).select("t", "key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    hot = hot.select("t", "key", F.least("mine", "other").alias("ca"), F.greatest("mine", "other").alias("cb"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "fp")
-    hot = hot.repartition("t", "key", "ca", "cb").sortWithinPartitions("t", "key", "ca", "cb", "side")
-    return links.union(hot.mapInArrow(trimmed(find), "a long, b long"))
+    return links if hot is None else links.union(hot.mapInArrow(trimmed(find), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, tile: int = 4096, owner: str = "") -> DataFrame:
