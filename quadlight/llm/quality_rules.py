@@ -89,8 +89,9 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 100) -> t
     """EM for two classes and independent voters that may abstain.
 
     ``patterns``: (votes, documents). Returns the log odds of good quality before any vote, and for each rule the log
-    odds that a vote of its is right (0 for a rule no better than chance). Starts from rules that are right four
-    times in five, which also says which class is the good one; the prior odds stay between 1 and 12.
+    odds that a vote of its is right (0 for a rule no better than chance, less for a worse one). Starts from rules that
+    are right four times in five, which also says which class is the good one. Five votes more for each rule, and five
+    documents more, four of them right and good, stand for what is believed before; nothing else bounds the estimates.
     """
     if not patterns:
         return 0.0, []
@@ -106,9 +107,8 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 100) -> t
                 if pattern[r]:
                     voted[r] += n
                     right[r] += n * (p if pattern[r] > 0 else 1 - p)
-        share = [min(0.99, max(0.5, a / b)) for a, b in zip(right, voted, strict=True)]
-        weight = [math.log(a / (1 - a)) for a in share]
-        prior = min(math.log(12), max(0.0, math.log((mass + 4) / (total - mass + 1))))
+        weight = [math.log(a / (b - a)) for a, b in zip(right, voted, strict=True)]
+        prior = math.log((mass + 4) / (total - mass + 1))
     return prior, weight
 
 
