@@ -1,4 +1,4 @@
-"""URL filter: a blocked Bloom filter of listed canonical URLs, then an exact hash join on what passes it.
+"""URL filter by a list and by rules: a blocked Bloom filter of listed canonical URLs, then an exact hash join on what passes it.
 
 The filter is a table of blocks of 512 bits (eight longs); a URL picks one block and sets or tests one bit in each
 long. It is built by an aggregation and probed by a join on the block number, so it is distributed like any table and
@@ -65,29 +65,45 @@ def bloom_filter(listed: DataFrame, url_col: str, blocks: int) -> DataFrame:
     return listed.select(block.alias("_block"), *[b.alias(f"_m{i}") for i, b in enumerate(bits)]).groupBy("_block").agg(*[F.bit_or(f"_m{i}").alias(f"_m{i}") for i in range(WORDS)])
 
 
+#: Salts over which the copies of a URL are dealt where list and filter are joined by a shuffle.
+SALTS = 8
+
+
 def in_list(urls: DataFrame, url_col: str, listed: DataFrame, listed_col: str, bits_per_url: int = 16, most_broadcast: int = 64 << 20, owner: str = "") -> DataFrame:
-    """``urls`` with ``listed``: whether the canonical URL is in the list. Null URLs are not; repeats are judged alike."""
+    """``urls`` with ``listed``: whether the canonical URL is in the list. Null URLs are not, and take no part in any join;
+    repeats are judged alike; an empty list holds nothing. ``urls`` may not have a column called listed.
+
+    Past ``most_broadcast`` bytes of the filter both joins are shuffles, on the block or URL and a salt, so that the copies
+    of a URL are never one task's work."""
+    if "listed" in urls.columns:
+        raise ValueError("a column of the urls may not be called listed")
     names = staged(listed.where(F.col(listed_col).isNotNull()).select(F.col(listed_col).alias("_url")).distinct(), "listed", owner)
     blocks = max(1, names.count() * bits_per_url // (64 * WORDS) + 1)
-    table = bloom_filter(names, "_url", blocks)
+    table, known, on = bloom_filter(names, "_url", blocks), names.withColumn("_in", F.lit(True)), []
+    block, bits = _bits(F.col(url_col), blocks)
+    marked = urls.where(F.col(url_col).isNotNull()).select("*", block.alias("_block"))
     if blocks * 8 * (WORDS + 1) <= most_broadcast:
         table = F.broadcast(table)
-    block, bits = _bits(F.col(url_col), blocks)
-    marked = urls.select("*", block.alias("_block"))
-    probed = marked.join(table, "_block", "left")
+    else:
+        salts, on = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), ["_salt"]
+        marked = marked.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        table, known = table.select("*", salts), known.select("*", salts)
+    probed = marked.join(table, ["_block", *on], "left")
     hit = reduce(lambda x, y: x & y, [F.col(f"_m{i}").bitwiseAND(b) != 0 for i, b in enumerate(bits)])
-    probed = probed.withColumn("_maybe", F.coalesce(hit & F.col(url_col).isNotNull(), F.lit(False)))
-    probed = probed.select(*urls.columns, "_maybe")
-    passed = probed.where("_maybe").join(names.withColumn("_in", F.lit(True)), F.col(url_col) == F.col("_url"), "left")
+    probed = probed.withColumn("_maybe", F.coalesce(hit, F.lit(False))).select(*urls.columns, *on, "_maybe")
+    passed = probed.where("_maybe").join(known.withColumnRenamed("_url", url_col), [url_col, *on], "left")
     passed = passed.select(*urls.columns, F.coalesce("_in", F.lit(False)).alias("listed"))
-    return passed.union(probed.where(~F.col("_maybe")).select(*urls.columns, F.lit(False).alias("listed")))
+    others = probed.where(~F.col("_maybe")).select(*urls.columns).union(urls.where(F.col(url_col).isNull()))
+    return passed.union(others.withColumn("listed", F.lit(False)))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", owner: str = "") -> DataFrame:
     """(id_col, url, canonical_url, host, path, rule, listed, verdict: allow or block) for each row.
 
     The longest fitting rule decides; without one, a URL whose canonical form is among those of ``listed`` is blocked
-    and any other allowed. Null urls and urls without :// have an empty host and path and are allowed.
+    and any other allowed. Null urls and urls without :// have an empty host and path and are allowed. Repeated pages are
+    judged one by one, repeats of the list count once; of two fitting rules of one length the last by name decides; empty
+    pages give an empty result, an empty list blocks nothing; extra columns of both tables are ignored.
     """
     names = listed.select(canonical(F.col(listed_col)).alias("_listed"))
     urls = pages.select(F.col(id_col), F.col(url_col).alias("url"), canonical(F.col(url_col)).alias("canonical_url"))

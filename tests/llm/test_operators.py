@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import collections
+import json
 import math
 import re
 import zlib
@@ -132,7 +133,9 @@ def test_sweeps_place_every_piece_once():
         capacity = int(rng.integers(4, 40))
         counts = {int(k): int(rng.integers(1, 60)) for k in rng.integers(1, capacity + 1, 6)}
         fill, seen = collections.defaultdict(list), collections.Counter()
-        for length, lo, hi, per, first, at in packing.sweeps(counts, capacity):
+        plan, left, gaps, made = packing.sweep([(k, 0, n) for k, n in counts.items()], [], capacity, 0)
+        assert not left and made == len({first + (r - lo) // per for _, lo, hi, per, first, _ in plan for r in range(lo, hi)})
+        for length, lo, hi, per, first, at in plan:
             for r in range(lo, hi):
                 fill[first + (r - lo) // per].append((at + length * ((r - lo) % per), length))
                 seen[length] += 1
@@ -156,6 +159,47 @@ def test_sweeps_place_every_piece_once():
         assert len(fill) <= len(gaps)
 
 
+def test_rounds_place_every_piece_once(spark):
+    """The rounds of frames against best-fit decreasing, piece by piece on the driver."""
+    rng = np.random.default_rng(4)
+    for capacity, lengths in ((64, rng.integers(1, 65, 3000)), (64, rng.integers(20, 40, 2000)), (50, np.array([50] * 9)), (2048, rng.integers(1, 700, 4000))):
+        counts = collections.Counter(lengths.tolist())
+        frame = spark.createDataFrame(list(counts.items()), "length int, n long")
+        fill, seen = collections.defaultdict(list), collections.Counter()
+        for part in packing.placements(frame, capacity):
+            for r in part.collect():
+                for k in range(r["lo"], r["hi"]):
+                    fill[r["first"] + (k - r["lo"]) // r["per"]].append((r["at"] + r["size"] * ((k - r["lo"]) % r["per"]), r["size"]))
+                    seen[r["size"]] += 1
+        assert seen == counts
+        for pieces in fill.values():
+            end = 0
+            for at, length in sorted(pieces):
+                assert at == end
+                end += length
+            assert end <= capacity
+        gaps: list[int] = []
+        for length in sorted(lengths.tolist(), reverse=True):
+            k = min((i for i, g in enumerate(gaps) if g >= length), key=lambda i: gaps[i], default=None)
+            if k is None:
+                gaps.append(capacity - length)
+            else:
+                gaps[k] -= length
+        assert len(fill) <= max(len(gaps) + 1, 1.002 * len(gaps))
+    assert packing.placements(spark.createDataFrame([], "length int, n long"), 8)[-1].count() == 0
+
+
+def test_encoders_agree():
+    """The faster library gives what the tokenizer of the contract gives: added tokens, spaces, emoji, any code point."""
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(queries.vocabulary()), packing._encoder(queries.vocabulary())
+    odd = ["<|endoftext|> x", " <|endoftext|><|endoftext|>", "a<|endoftext|>\n", "<|endoftext", "  a   b  ", "\u00a0\u2003 x\u3000", "\t\n \r\x0b\x0c", "a\r\nb", "\U0001F600\u200d\U0001F9D1 \U0001F3FD", "e\u0301 é ﬁ Å", "I'm we'll they'Ve", "12 345\u0663\u0bf2", "\x00\x1f\x7f\x85", "", " ", "\ufeffx", "\u202e x \ue000 \U0010ffff"]
+    odd += [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} ,{chr(c)},  {chr(c)}x\n{chr(c)}'s" for c in [*range(0x20, 0x3000), *range(0x3000, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    for text, ids in zip(odd, fast(odd), strict=True):
+        assert ids.tolist() == slow.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pack_is_exact(docs, texts):
     from tokenizers import Tokenizer
 
@@ -288,6 +332,7 @@ def test_voting_model():
         truth[votes].append(good)
     prior, weights = quality_rules.fit(sorted(counts.items()))
     said = {v: prior + sum(a * b for a, b in zip(weights, v, strict=True)) > 0 for v in counts}
+    assert abs(1 / (1 + math.exp(-prior)) - 0.85) < 0.05 and all(abs(1 / (1 + math.exp(-w)) - 0.85) < 0.05 for w in weights)
     assert sum(said[v] == g for v, gs in truth.items() for g in gs) > 0.93 * 4000
     assert quality_rules.fit([]) == (0.0, [])
 
@@ -326,7 +371,19 @@ def test_chat_layouts(spark):
     got = chat.format_chats(spark.createDataFrame([(r,) for r in records], "record string")).collect()
     assert [r["layout"] for r in got] == ["prompt_response", "instruction_input", "conversations", "instruction", None, None, None, "messages"]
     assert [[tuple(t) for t in r["turns"]] for r in got[:4]] == [[("user", "p"), ("assistant", "r")], [("user", "i"), ("user", "x"), ("assistant", "o")], [("user", "h"), ("assistant", "")], [("user", ""), ("assistant", "o")]]
-    assert got[5]["formatted"] == ""
+    assert [r["formatted"] for r in got[4:7]] == [None] * 3 and got[7]["formatted"] == ""
+    assert [r["extra"] for r in got] == [None] * 4 + ['{"other":1}', "not json", None, None]
+
+
+def test_chat_records_with_more_fields(spark):
+    """What a layout does not read is kept beside the turns, and no turn is lost for it."""
+    records = ['{"messages":[{"role":"user","content":"a","name":"n"},{"role":"assistant","content":"b"}],"id":7}', '{"id":"x","prompt":"p","response":"r","system":"s"}', '{"instruction":"i","output":"o","input":"x","system":"s","tags":["t"]}', '{"messages":[{"content":"only"}]}', '{"question":"q","answer":null,"prompt":"p"}']
+    got = chat.format_chats(spark.createDataFrame([(r, 1) for r in records], "record string, turns int")).collect()
+    assert [r["layout"] for r in got] == ["messages", "system_prompt_response", "system_instruction_input", None, "question_answer"]
+    assert [tuple(t) for t in got[0]["turns"]] == [("user", "a"), ("assistant", "b")] and [t["role"] for t in got[2]["turns"]] == ["system", "user", "user", "assistant"]
+    extras = [json.loads(r["extra"]) for r in got]
+    assert extras[0]["id"] == "7" and json.loads(extras[0]["messages"]) == [{"name": "n"}, {}] and extras[1] == {"id": "x"}
+    assert json.loads(extras[2]["tags"]) == ["t"] and extras[3] == {"messages": [{"content": "only"}]} and extras[4] == {"prompt": "p"}
 
 
 # Language model

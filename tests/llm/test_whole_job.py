@@ -113,3 +113,101 @@ def test_licence_sentences_with_cuts_inside_and_wrapped(spark):
     got = [r for r in sorted(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())]
     assert [r["sentence_ids"] for r in got] == [*full, *full, *(" ".join(n) for n in notices)]
     assert [r["licenses"] for r in got[-4:]] == ["MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0"]
+
+
+def test_licence_sql_agrees_on_wrapped_and_odd_texts(spark):
+    import duckdb
+
+    full = licenses.SENTENCES
+    texts = [*full.values(), *(textwrap.fill(t, 25) for t in full.values()), f"// {full['mit-keep']}", full["bsd-name"], "All-rights-reserved.", f"{full['reserved']}{full['reserved']}", f"{full['reserved']} {full['reserved']}\r\n{full['cc0-name']}", "ALL RIGHTS RESERVED", "All rights. reserved", "x All rights reserved.", None, "", " \n", "|", "all rights reserved|all rights reserved", "All righKs reserved"]
+    got = {r[0]: tuple(r)[1:] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    c = duckdb.connect()
+    c.execute("create table documents(doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert {r[0]: r[1:] for r in c.execute(licenses.scan_sql()).fetchall()} == got
+    at = 2 * len(full)
+    assert [got[at + k][0] for k in range(3)] == ["mit-keep", "bsd-name", "reserved"]
+
+
+def test_licences_of_an_empty_table_long_texts_and_other_columns(spark):
+    frame = spark.createDataFrame([(1, "x y. " * 200_000 + "All rights reserved.", "clash", 3)], "doc_id long, text string, sentence_ids string, _names int")
+    assert [tuple(r) for r in licenses.scan(frame).collect()] == [(1, "reserved", "all-rights-reserved", 1)]
+    assert licenses.scan(frame.where("false")).count() == 0
+
+
+# URLs
+
+
+def test_urls_of_empty_tables_hot_urls_and_nulls(spark):
+    from quadlight.llm import url_filter
+
+    rows = [(i, "HTTP://www.hot.org/a/?utm_source=x", "clash", 1) for i in range(300)] + [(300, None, None, None), (300, "no scheme", "", 2), (301, "https://cold.org/b", "", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, listed int")
+    listed = spark.createDataFrame([("http://m.hot.org/a",), (None,), ("http://m.hot.org/a",)], "url string")
+    got = url_filter.judge(pages, listed, {})
+    assert got.columns == ["page_id", "url", "canonical_url", "listed", "host", "path", "rule", "verdict"]
+    assert sorted((r["page_id"], r["verdict"]) for r in got.collect()) == sorted([(i, "block") for i in range(300)] + [(300, "allow"), (300, "allow"), (301, "allow")])
+    urls = pages.select("page_id", url_filter.canonical(F.col("url")).alias("c"))
+    salted = url_filter.in_list(urls, "c", listed.select(url_filter.canonical(F.col("url")).alias("u")), "u", most_broadcast=0)
+    assert sorted((r["page_id"], r["listed"]) for r in salted.collect()) == sorted([(i, True) for i in range(300)] + [(300, False), (300, False), (301, False)])
+    assert url_filter.judge(pages.where("false"), listed, {"a/": "block"}).count() == 0
+    assert url_filter.judge(pages, listed.where("false"), {}).where("verdict = 'block'").count() == 0
+
+
+# Quality rules
+
+
+def test_quality_rules_by_brute_force(spark):
+    """Every base column and the verdict, computed word by word in Python."""
+    import collections
+    import math
+    import re
+
+    from quadlight.llm import quality_rules
+
+    rng = np.random.default_rng(21)
+    texts = {}
+    for i in range(160):
+        words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(int(rng.integers(20, 200)))]
+        if i % 3 == 0:
+            words = [w + str(rng.choice(["###", "%%", "&!", "|", ""])) for w in words]
+        if i % 4 == 0:
+            words[5:5] = words[:8] * int(rng.integers(1, 9))
+        lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+        texts[i] = "\n".join(lines * (1 + (i % 5 == 0)) + ["", "  "] * (i % 2))
+    texts[160], texts[161], texts[162] = None, "", "WORD " * 60_000
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, kept int")).collect()}
+    stats, votes = {}, {}
+    for i, t in texts.items():
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen, covered = collections.Counter(zip(w, w[1:], w[2:], strict=False)), set()
+        for j in range(len(w) - 2):
+            if seen[tuple(w[j : j + 3])] > 1:
+                covered |= {j, j + 1, j + 2}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        symbols, dups = sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
+        stats[i] = (len(w), sum(map(len, w)), symbols, dups, len(covered))
+        assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == stats[i]
+        n, chars = max(len(w), 1), max(sum(map(len, w)), 1)
+        upper, lower, marks = sum(c.isupper() for c in t), sum(c.islower() for c in t), sum(c in "!?|" for c in t)
+        vote = lambda bad, good=False: -1 if bad else 1 if good else 0
+        votes[i] = (vote(len(w) < 30), vote(not 2.5 <= chars * (len(w) > 0) / n <= 12), vote(symbols > 0.1 * n), vote(symbols > 0.3 * n), vote(upper > 0.3 * (upper + lower)), vote(marks > 0.2 * n), vote(len(covered) > 0.3 * n), vote(dups > 0.02 * n), vote(lower / chars < 0.75, lower / chars >= 0.85 and symbols <= 0.05 * n))
+    failed = {i: s[0] < 50 or 100 * s[4] > 50 * s[0] for i, s in stats.items()}
+    patterns = collections.Counter(votes[i] for i in texts if not failed[i])
+    prior, weights = math.log(4), [math.log(4)] * 9
+    for _ in range(100):
+        right, voted, mass = [4.0] * 9, [5.0] * 9, 0.0
+        for v, k in patterns.items():
+            good = 1 / (1 + math.exp(-(prior + sum(a * b for a, b in zip(weights, v, strict=True)))))
+            mass += good * k
+            for r in range(9):
+                if v[r]:
+                    voted[r] += k
+                    right[r] += k * (good if v[r] > 0 else 1 - good)
+        weights, prior = [math.log(a / (b - a)) for a, b in zip(right, voted, strict=True)], math.log((mass + 4) / (sum(patterns.values()) - mass + 1))
+    for i in texts:
+        odds = prior + sum(a * b for a, b in zip(weights, votes[i], strict=True))
+        assert got[i]["base_failed"] == failed[i] and got[i]["kept"] == (not failed[i] and odds >= 0), (i, odds)
+        assert abs(got[i]["quality"] - 1 / (1 + math.exp(-odds))) < 1e-9
+    assert {got[i]["kept"] for i in texts if not failed[i]} == {True, False}
