@@ -6,7 +6,8 @@
 2. A randomised SVD of the TF-IDF matrix of passages gives every term a latent vector. The matrix holds all benchmark
    items and the passages of a bounded sample of documents (``most_sample`` rows, the first by the hash of their id);
    its products with the test matrix are computed on the executors and summed by term.
-3. Every document is read whole. Windows of 40 words slide over it in steps of 16; a window whose cosine with an item reaches ``least_cosine`` is a candidate.
+3. Every document is read whole. Windows of 40 words slide over it in steps of 16, and for items of fewer than 16 words
+   windows of 24 in steps of 8; a window whose cosine with an item reaches ``least_cosine`` is a candidate.
 4. Candidates are checked exactly on the words around the window: the longest common subsequence of words, and the same
    for the answer, the item's last sentence. Much of the text in order is a leak in itself; half of it, with the answer,
    is a paraphrase. Only where too few of the item's words are there for either is the subsequence not computed.
@@ -31,6 +32,8 @@ from quadlight.llm.common import staged, trimmed
 BLOCK = 8
 #: A window's blocks, and the blocks to the next window.
 WINDOW, STEP = 5, 2
+#: The same for items of fewer words than ``SHORT``: each then lies in some window as a whole.
+SHORT, SHORT_WINDOW, SHORT_STEP = 16, 3, 1
 #: Terms in more than this share of the documents may be copies of a leak: the benchmark says how common they are.
 COMMON = 0.1
 
@@ -135,24 +138,32 @@ def candidates(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int,
             sums[lo : lo + (1 << 10)] += rows[cells[lo : lo + (1 << 10), k]]
     owner = np.repeat(np.arange(len(docs)), sizes)
     place = np.concatenate([f + np.arange(s) for f, s in zip(first, sizes, strict=True)])
-    use = (place - first[owner]) % STEP == 0
-    at, doc = place[use], owner[use]
+    short = np.array([len(t) < SHORT for t in index.texts])
+    for width, step, own in ((WINDOW, STEP, np.flatnonzero(~short)), (SHORT_WINDOW, SHORT_STEP, np.flatnonzero(short))):
+        if len(own):
+            use = (place - first[owner]) % step == 0
+            yield from _near(index, docs, first, sums, place[use], owner[use], width, own)
+
+
+def _near(index: Index, docs: list[np.ndarray], first: np.ndarray, sums: np.ndarray, at: np.ndarray, doc: np.ndarray, width: int, own: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    """The candidates among the items ``own`` in windows of ``width`` blocks that begin at the blocks ``at``."""
+    vectors = index.vectors[own].T
     for lo in range(0, len(at), 1 << 13):
         here, mine = at[lo : lo + (1 << 13)], doc[lo : lo + (1 << 13)]
         w = sums[here]
-        for j in range(1, WINDOW):
+        for j in range(1, width):
             w = w + sums[here + j]
         some = np.flatnonzero(w.any(axis=1))
-        near = _unit(w[some]) @ index.vectors.T
+        near = _unit(w[some]) @ vectors
         window, items = np.nonzero(near >= index.least_cosine)
         cosines = near[window, items].tolist()
         cuts = np.flatnonzero(np.diff(window, prepend=-1, append=-1)).tolist()
-        items = items.tolist()
+        items = own[items].tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):  # the items near a window
             i = some[window[a]]
             d = int(mine[i])
             start = int(here[i] - first[d]) * BLOCK
-            end = min(start + WINDOW * BLOCK, len(docs[d]))
+            end = min(start + width * BLOCK, len(docs[d]))
             reach = index.reach(max(items[a:b], key=index.size))
             there = set(docs[d][max(0, start - reach) : end + reach].tolist())
             for k in range(a, b):
@@ -202,11 +213,12 @@ def _frequencies(docs: DataFrame, text_col: str, numbers: dict[bytes, int]) -> t
     return out[:-1], int(out[-1])
 
 
-def _latent(docs: DataFrame, id_col: str, text_col: str, items: list[list[int]], numbers: dict[bytes, int], weights: np.ndarray, dimensions: int, most_sample: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
+def _latent(docs: DataFrame, id_col: str, text_col: str, items: list[list[int]], numbers: dict[bytes, int], weights: np.ndarray, dimensions: int, most_sample: int, owner: str, rounds: int = 2, seed: int = 11) -> np.ndarray:
     """Right singular vectors (terms, dimensions) of the TF-IDF matrix of passages, by randomised subspace iteration."""
     spark, passage = docs.sparkSession, BLOCK * WINDOW
     ids = docs.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most_sample)
-    sample = docs.join(F.broadcast(ids), id_col).select(F.col(text_col).cast("binary").alias("_t"))
+    # Of repeated ids one text is taken, so the sample stays as small as it is meant to be.
+    sample = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("_t").cast("binary").alias("_t"))
     parts = max(1, min(8, most_sample // 250))
     sent = spark.sparkContext.broadcast(numbers)
 
@@ -218,7 +230,7 @@ def _latent(docs: DataFrame, id_col: str, text_col: str, items: list[list[int]],
                 out += [p[p >= 0].astype("<i4").tobytes() for p in np.array_split(ids, max(1, len(ids) // passage))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["p"])
 
-    passages = staged(sample.select("_t").mapInArrow(trimmed(cut), "p binary").where("octet_length(p) > 0").repartition(parts), "passages")
+    passages = staged(sample.select("_t").mapInArrow(trimmed(cut), "p binary").where("octet_length(p) > 0").repartition(parts), "passages", owner)
     rng = np.random.default_rng(seed)
     basis = np.linalg.qr(rng.normal(size=(len(numbers), dimensions)))[0].astype(np.float32)
 
@@ -267,7 +279,7 @@ def term_weights(frequency: np.ndarray, n: int, texts: list[list[int]]) -> np.nd
     return -np.log(np.minimum(share, np.maximum(others / len(texts), COMMON))) + 0.01
 
 
-def build_index(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col: str, dimensions: int, most_sample: int, least_cosine: float) -> Index | None:
+def build_index(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col: str, dimensions: int, most_sample: int, least_cosine: float, owner: str = "") -> Index | None:
     texts = [words(t.encode()) for _, t in items]
     kept = [item for item, ws in zip(items, texts, strict=True) if ws]
     numbers = {w: k for k, w in enumerate(sorted({w for ws in texts for w in ws}))}
@@ -277,7 +289,7 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text
     texts = [[numbers[w] for w in ws] for ws in texts if ws]
     answers = [[numbers[w] for w in words(_answer(t).encode())] for _, t in kept]
     weights = term_weights(frequency, n, texts)
-    basis = _latent(docs, id_col, text_col, texts, numbers, weights, min(dimensions, len(numbers)), most_sample)
+    basis = _latent(docs, id_col, text_col, texts, numbers, weights, min(dimensions, len(numbers)), most_sample, owner)
     latent = (basis * weights[:, None]).astype(np.float32)
     vectors = _unit(np.array([latent[t].sum(axis=0) for t in texts])).astype(np.float32)
     return Index([i for i, _ in kept], texts, answers, numbers, weights, latent, vectors, least_cosine)
@@ -334,18 +346,22 @@ def decontaminate(
 
     The best leak by longest common subsequence; all but ``contaminated`` are null without one. Null, empty and
     wordless texts have none, nor do such items match anything; null item ids are reported as null. Repeated rows are
-    judged alike; an empty table or benchmark gives no leaks; extra columns are ignored. With a benchmark of several
-    slices, a row keeps its best item over all of them.
+    judged alike; of items with one text the smallest id is reported; an empty table or benchmark gives no leaks; extra
+    columns are ignored, but for those of ``keep``, none of which may be called like a column of the result. With a
+    benchmark of several slices, a row keeps its best item over all of them.
     """
-    size = benchmark.agg(F.sum(F.octet_length(item_text_col))).first()[0] or 0
+    if clash := {id_col, *(keep or [])} & {"contaminated", "item_id", "cosine", "lcs", "answer", "_item_id", "_cosine", "_lcs", "_answer", "_text"}:
+        raise ValueError(f"columns that are kept may not be called {', '.join(sorted(clash))}")
+    items = benchmark.where(F.col(item_text_col).isNotNull()).groupBy(F.col(item_text_col).alias("_item")).agg(F.min(item_col).alias("_id"))
+    items = staged(items.select("_id", "_item"), "items", owner)
+    size = items.agg(F.sum(F.octet_length("_item"))).first()[0] or 0
     slices = -(-size // slice_bytes) or 1
-    items = benchmark.select(item_col, item_text_col).where(F.col(item_text_col).isNotNull())
     found, carried = docs, list(keep or [])
     names = ["item_id", "cosine", "lcs", "answer"]
     state = [f"_{c}" for c in names]
     for k in range(slices):
-        part = sorted((r[0] if r[0] is not None else -1, r[1]) for r in items.where(F.pmod(F.xxhash64(item_text_col), F.lit(slices)) == k).collect())  # about slice_bytes
-        index = build_index(docs, part, id_col, text_col, dimensions, most_sample, least_cosine)
+        part = sorted((r[0] if r[0] is not None else -1, r[1]) for r in items.where(F.pmod(F.xxhash64("_item"), F.lit(slices)) == k).collect())  # about slice_bytes
+        index = build_index(docs, part, id_col, text_col, dimensions, most_sample, least_cosine, owner)
         if index is None:
             continue
         text = [text_col] if text_col not in carried and k < slices - 1 else []

@@ -86,6 +86,163 @@ def test_leak_in_a_large_group_of_copies(spark):
     assert {r["doc_id"]: r["item_id"] for r in got if r["contaminated"]} == {i: 0 for i in range(0, 300, 3)}
 
 
+def brute_leaks(texts, items):
+    """Documents with a region whose longest common subsequence with an item, and with its answer, makes a leak: every
+    region of every document against every item."""
+    found = {}
+    for i, text in texts.items():
+        words = decontamination.words((text or "").encode())
+        for item, whole in items:
+            of, answer = decontamination.words(whole.encode()), decontamination.words(decontamination._answer(whole).encode())
+            half = int(0.75 * len(of)) + decontamination.BLOCK
+            for at in range(0, len(words) + 1, 2):
+                region = words[max(0, at - half) : at + half]
+                share = decontamination.lcs(of, region) / len(of)
+                if share >= 0.8 or share >= 0.5 and decontamination.lcs(answer, region) / len(answer) >= 0.5:
+                    found.setdefault(i, set()).add(item)
+    return found
+
+
+def test_leaks_by_brute_force(spark, capsys):
+    """Verbatim items, items with words exchanged, left out and put in, and items cut at the end of a document; items of
+    5 to 60 words. Recall against brute force, and nothing beyond it."""
+    rng = np.random.default_rng(33)
+    items = [(i, " ".join(prose(rng, int(rng.integers(3, 40)))) + ". " + " ".join(prose(rng, int(rng.integers(2, 20)))) + ".") for i in range(24)]
+    texts, kinds = {}, {}
+    for i in range(144):
+        words = prose(rng, int(rng.integers(40, 160)))
+        kind = ("verbatim", "exchanged", "left out", "put in", "at the end", "none")[i % 6]
+        leak = items[i // 6][1].replace(".", "").split()
+        if kind == "exchanged":
+            leak = edited(rng, leak, len(leak) // 4)
+        elif kind == "left out":
+            leak = [w for k, w in enumerate(leak) if k % 4]
+        elif kind == "put in":
+            leak = [x for w in leak for x in ([w, *prose(rng, 1)] if rng.random() < 0.2 else [w])]
+        at = len(words) if kind == "at the end" else int(rng.integers(0, len(words)))
+        texts[i], kinds[i] = " ".join(words if kind == "none" else [*words[:at], *leak, *words[at:]]), kind
+    want = brute_leaks(texts, items)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect() if r["contaminated"]}
+    assert all(item in want.get(i, ()) for i, item in got.items())
+    share = {k: (sum(i in got for i in want if kinds[i] == k), sum(kinds[i] == k for i in want)) for k in dict.fromkeys(kinds.values())}
+    with capsys.disabled():
+        print(f"\nleaks found of those that brute force finds: {share}")
+    assert sum(i in got for i in want) >= 0.9 * len(want) and len(want) > 100
+
+
+def test_leaks_of_repeated_items_long_texts_and_clashing_columns(spark):
+    rng = np.random.default_rng(34)
+    item = " ".join(prose(rng, 30))
+    long = prose(rng, 60_000)
+    long[50_000:50_000] = item.split()
+    docs = spark.createDataFrame([(1, " ".join(long), 5, "x"), (2, "nothing here", 5, "x")], "doc_id long, text string, item_id int, lcs string")
+    benchmark = spark.createDataFrame([(7, item), (3, item), (9, item)], "item_id long, text string")
+    got = decontamination.decontaminate(docs, benchmark, dimensions=8, slice_bytes=100).collect()
+    assert sorted((r["doc_id"], r["contaminated"], r["item_id"]) for r in got) == [(1, True, 3), (2, False, None)]
+    with pytest.raises(ValueError, match="item_id"):
+        decontamination.decontaminate(docs, benchmark, keep=["item_id"])
+
+
+# The pipeline's stages with names that they use themselves
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rng = np.random.default_rng(35)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    texts = [" ".join(word() for _ in range(90)) for _ in range(8)] + [None, "", " ".join(word() for _ in range(30_000))]
+    names = "score string, _label int, item_id string, lcs double, _row string, _number string, component_id string, quality int, kept int, _c0 string, contaminated string, answer int, _text string, n_words string"
+    rows = [(i, t, "en", "s", len(t or ""), "s", 1, "i", 0.5, f"row {i}", "n", "c", 3, 4, "c0", "no", 5, "t", "w") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some item of the benchmark that no text holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        path = str(tmp_path / f"stage-{k}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert sorted(r["_row"] for r in docs.collect()) == sorted(f"row {i}" for i in [*range(8), 10]), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    packed = corpus_pipeline.packed(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in packed.collect()} == {*range(8), 10}
+    assert corpus_pipeline.packed(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+# Classifiers
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = np.random.default_rng(41)
+    rows, labels = [], []
+    for i in range(300):
+        words = prose(rng, 40)
+        if i % 5 == 0:
+            words[3:3] = ["vile", "scum"]
+        if i % 3 == 0:
+            words += ["%%%"] * 12
+        rows.append((f"id{i}", " ".join(words), f"s{i % 2}", "en", 200))
+        labels.append((f"id{i}", int(i % 5 == 0), int(i % 3 != 0)))
+    rows += [("id0", rows[0][1], "s0", "en", 1)] * 200 + [(None, "null", None, None, None), ("id999", None, None, None, None), ("id998", "w " * 40_000, "s", "en", 1)]
+    return spark.createDataFrame(rows, "doc_id string, text string, source string, lang string, n_chars long"), spark.createDataFrame(labels, "doc_id string, toxic int, quality int")
+
+
+def test_toxicity_by_brute_force(labelled):
+    """The scores of frames against the network written out word by word."""
+    from quadlight.llm import toxicity
+
+    docs, labels = labelled
+    model = toxicity.fit_sample(docs, labels, F.lit(True))
+    names = [*toxicity.STOP_WORDS, ""]
+    filters = len(model.bias) // 3
+
+    def plain(text):
+        words = (text or "").encode().split()
+        rows = [np.zeros(model.table.shape[1])] * 2 + [model.table[list(toxicity.word_rows(w))].sum(axis=0) for w in words] + [np.zeros(model.table.shape[1])] * 2
+        best, part = [], 0
+        for k in toxicity.WIDTHS:
+            ends = [sum(rows[e - k + 1 + j][(part + j) * filters : (part + j + 1) * filters] for j in range(k)) for e in range(2, len(rows))]
+            best.append(np.max(ends, axis=0))
+            part += k
+        odds = np.maximum(np.concatenate(best) + model.bias, 0) @ model.out[:-1] + model.out[-1]
+        known = [sum(w.strip(toxicity.EDGE).lower().decode("utf-8", "replace") in stop.split() for w in words) for stop in toxicity.STOP_WORDS.values()]
+        at = model.thresholds[names[int(np.argmax(known))] if max(known) else ""]
+        return 1 / (1 + np.exp(-np.clip(odds - at + np.log(0.3 / 0.7), -40, 40)))
+
+    got = toxicity.score(docs, model, keep=["text"]).distinct().collect()
+    assert len(got) > 300 and all(abs(r["score"] - plain(r["text"])) < 1e-4 for r in got)
+    want = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert np.mean([(r["score"] >= 0.3) == want[r["doc_id"]] for r in got if r["doc_id"] in want]) > 0.97
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(docs.withColumn("score", F.lit(1)), model, keep=["score"])
+
+
+def test_co_training_by_brute_force(labelled):
+    """The scores of frames against both views summed feature by feature."""
+    import math
+
+    from quadlight.llm import quality_classifier as q
+
+    docs, labels = labelled
+    model = q.fit_sample(docs, labels, F.lit(True))
+
+    def view(v, features):
+        return v.scale * (sum(float(v.weights[f]) for f in features) / math.sqrt(max(len(features), 1)) + v.bias) + v.shift
+
+    by_id = {r["doc_id"]: r for r in docs.collect()}
+    rows = q.score(docs, model).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        d = by_id[r["doc_id"]]
+        text = view(model.text, q.text_features(None if d["text"] is None else d["text"].encode()).tolist())
+        meta = view(model.meta, q.meta_features(d["source"], d["lang"], d["n_chars"]).tolist())
+        odds = text * model.mix[0] + meta * model.mix[1] + model.mix[2]
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-40, min(40, odds))))) < 1e-9 or d["doc_id"] == "id0"
+    want = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert np.mean([r["kept"] == want[r["doc_id"]] for r in rows if r["doc_id"] in want]) > 0.95
+
+
 # Chats
 
 
