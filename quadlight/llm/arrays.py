@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 
 _maps: dict[str, np.ndarray] = {}
+#: Files of folders that cannot be mapped, the last used last, and how many bytes of them a worker keeps.
+_read: OrderedDict[str, np.ndarray] = OrderedDict()
+MOST_READ = 512 << 20
 
 
 class ArrayStore:
@@ -30,25 +33,29 @@ class ArrayStore:
         fs.move(part, f"{base}/{name}")
 
     def map(self, name: str) -> np.ndarray:
-        """The file's bytes: mapped in place on a mounted folder, else through an unnamed local copy."""
+        """The file's bytes: mapped in place on a mounted folder, else read, and kept while others fit beside it."""
         from pyarrow.fs import LocalFileSystem
 
         key = f"{self.uri}/{name}"
+        if key in _read:
+            _read.move_to_end(key)
+            return _read[key]
         if key not in _maps:
             fs, base = self._open()
-            if isinstance(fs, LocalFileSystem):
-                _maps[key] = np.memmap(f"{base}/{name}", np.uint8, "r") if fs.get_file_info(f"{base}/{name}").size else np.zeros(0, np.uint8)
-            else:
-                with tempfile.TemporaryFile() as own, fs.open_input_stream(f"{base}/{name}") as f:
-                    while part := f.read(1 << 24):
-                        own.write(part)
-                    own.flush()
-                    _maps[key] = np.memmap(own, np.uint8, "r") if own.tell() else np.zeros(0, np.uint8)
+            if not isinstance(fs, LocalFileSystem):
+                with fs.open_input_stream(f"{base}/{name}") as f:
+                    _read[key] = np.frombuffer(f.read(), np.uint8)
+                while len(_read) > 1 and sum(map(len, _read.values())) > MOST_READ:
+                    _read.popitem(last=False)
+                return _read[key]
+            _maps[key] = np.memmap(f"{base}/{name}", np.uint8, "r") if fs.get_file_info(f"{base}/{name}").size else np.zeros(0, np.uint8)
         return _maps[key]
 
     def forget(self) -> None:
         for key in [k for k in _maps if k.startswith(f"{self.uri}/")]:
             del _maps[key]
+        for key in [k for k in _read if k.startswith(f"{self.uri}/")]:
+            del _read[key]
 
 
 def squeeze(sorted_keys: np.ndarray, *counts: np.ndarray) -> bytes:
@@ -87,3 +94,84 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: The largest value that a column of bytes holds itself; larger ones stand in a list of their own.
+ESCAPE = 255
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def pack_table(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """A sorted hash array: 64-bit hashes in buckets by their first bits, of which the next 32 bits are kept, with a byte
+    for each value of each column. Two hashes that agree in all of these bits are one in 2^32 a pair of a bucket.
+
+    Layout: 8 numbers (entries, bucket bits, columns, steps of a search, then the sizes of the lists of large values),
+    bucket starts (u4), hash bits (u4), columns (u1 each, padded to 8), lists of large values (place u8, value u8)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    bits = max(0, min(24, int(len(keys) // 16).bit_length()))
+    starts = np.zeros((1 << bits) + 1, np.uint64)
+    if bits:
+        starts[1:] = np.cumsum(np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
+    else:
+        starts[1:] = len(keys)
+    most = int(np.diff(starts).max()) if len(keys) else 0
+    pad = lambda x: x + bytes(-len(x) % 8)
+    kept = ((keys >> np.uint64(32 - bits)) & LOW).astype("<u4")
+    small, large = [], []
+    for c in columns:
+        c = c[order]
+        big = np.flatnonzero(c >= ESCAPE)
+        small.append(pad(np.minimum(c, ESCAPE).astype(np.uint8).tobytes()))
+        large.append(np.stack((big.astype("<u8"), c[big].astype("<u8"))).tobytes())
+    head = np.zeros(8, "<u8")
+    head[:4] = len(keys), bits, len(columns), most.bit_length()
+    head[4 : 4 + len(columns)] = [len(x) // 16 for x in large]
+    return b"".join((head.tobytes(), pad(starts.astype("<u4").tobytes()), pad(kept.tobytes()), *small, *large))
+
+
+class Table:
+    """A sorted hash array of ``pack_table``, read where it lies."""
+
+    def __init__(self, data: np.ndarray):
+        head = data[:64].view("<u8")
+        self.n, self.bits, columns, self.steps = (int(x) for x in head[:4])
+        at = 64
+        self.starts = data[at : at + 4 * ((1 << self.bits) + 1)].view("<u4")
+        at += -(-4 * ((1 << self.bits) + 1) // 8) * 8
+        self.kept = data[at : at + 4 * self.n].view("<u4")
+        at += -(-4 * self.n // 8) * 8
+        self.small, self.large = [], []
+        for _ in range(columns):
+            self.small.append(data[at : at + self.n])
+            at += -(-self.n // 8) * 8
+        for k in range(columns):
+            size = 16 * int(head[4 + k])
+            self.large.append(data[at : at + size].view("<u8").reshape(2, -1))
+            at += size
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1: a binary search in all buckets at once."""
+        if not self.n:
+            return np.full(len(keys), -1, np.int64)
+        want = ((keys >> np.uint64(32 - self.bits)) & LOW).astype(np.uint32)
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        low, high = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        end = high
+        for _ in range(self.steps):
+            middle = (low + high) >> 1
+            less = (middle < high) & (self.kept[np.minimum(middle, self.n - 1)] < want)
+            low = np.where(less, middle + 1, low)
+            high = np.where(less, high, middle)
+        here = np.minimum(low, self.n - 1)
+        return np.where((low < end) & (self.kept[here] == want), here, -1)
+
+    def values(self, places: np.ndarray, column: int) -> np.ndarray:
+        """The values of a column at places, 0 at -1."""
+        if not self.n:
+            return np.zeros(len(places), np.int64)
+        out = np.where(places >= 0, self.small[column][places], 0).astype(np.int64)
+        if len(big := np.flatnonzero(out == ESCAPE)):
+            where, value = self.large[column]
+            out[big] = value[np.searchsorted(where, places[big].astype(np.uint64))]
+        return out

@@ -389,50 +389,97 @@ def test_chat_records_with_more_fields(spark):
 # Language model
 
 
-def test_kneser_ney_by_hand(docs, texts):
-    model = language_model.fit(docs.where("h = 1"))
-    train = [[*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""] for t in texts.values()]
-    c1, c2 = collections.Counter(), collections.Counter()
-    for t in train:
-        c1.update(t)
-        c2.update(zip([None, *t[:-1]], t, strict=True))
-    n, v = sum(c1.values()), len(c1)
-    context, few, ahead = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (u, w), c in c2.items():
-        context[u] += c
-        few[u][min(c, 3) - 1] += 1
-        ahead[w] += 1
-    d = language_model.discounts([sum(c == k for c in c2.values()) for k in (1, 2, 3, 4)])
-    e = language_model.discounts([sum(c == k for c in ahead.values()) for k in (1, 2, 3, 4)])
+def plain_kneser_ney(train):
+    """p(w | u v) of the trigram model over lists of words that end with the end, from dictionaries."""
+    triples = collections.Counter(t for x in train for t in zip([None, None, *x], [None, *x], x, strict=False))
+    follow = collections.defaultdict(list)
+    for (u, v, _), c in triples.items():
+        follow[u, v].append(c)
+    pair = collections.Counter((v, w) for _, v, w in triples)
+    after = collections.defaultdict(list)
+    for (v, _), n in pair.items():
+        after[v].append(n)
+    ahead = collections.Counter(w for _, w in pair)
+    vocabulary = len({w for x in train for w in x})
+    d, d2, e = (language_model.discounts([sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]) for counts in (triples, pair, ahead))
+    off = lambda c, d: d[min(c, 3) - 1] if c else 0
     total = sum(ahead.values())
-    spread = sum(e[min(x, 3) - 1] for x in ahead.values()) / total
-    p1 = lambda w: (ahead[w] - e[min(ahead[w], 3) - 1] if ahead[w] else 0) / total + spread / (v + 1)
+    spread = sum(off(x, e) for x in ahead.values()) / total
+    p1 = lambda w: (ahead[w] - off(ahead[w], e)) / total + spread / (vocabulary + 1)
 
-    def p(u, w):
-        if u not in context:
+    def p2(w, v):
+        if v not in after:
             return p1(w)
-        c = c2[u, w]
-        return (c - d[min(c, 3) - 1] if c else 0) / context[u] + sum(a * b for a, b in zip(d, few[u], strict=True)) / context[u] * p1(w)
+        return (pair[v, w] - off(pair[v, w], d2)) / sum(after[v]) + sum(off(n, d2) for n in after[v]) / sum(after[v]) * p1(w)
+
+    def p3(w, u, v):
+        if (u, v) not in follow:
+            return p2(w, v)
+        whole = sum(follow[u, v])
+        return (triples[u, v, w] - off(triples[u, v, w], d)) / whole + sum(off(c, d) for c in follow[u, v]) / whole * p2(w, v)
+
+    return p1, p2, p3
+
+
+def words_of(text):
+    return [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()), b""]
+
 
-    assert abs(sum(p1(w) for w in c1) + p1(b"?unknown") - 1) < 1e-9
-    for r in language_model.score(docs, model).collect():
+@pytest.mark.parametrize("hot", [None, 2])
+def test_kneser_ney_by_hand(docs, texts, hot, monkeypatch):
+    if hot is not None:  # every word that occurs three times is dealt out as a very frequent one
+        monkeypatch.setattr(language_model, "max", lambda *x: hot if x[0] == 1000 else max(*x), raising=False)
+        monkeypatch.setattr(language_model, "MOST_TOKENS", 500)
+    texts = {**texts, 33: "one two one two one three " * 300}  # counts beyond a byte
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 33, texts[33]).otherwise(F.col("text")))
+    model = language_model.fit(docs.where("h = 1"))
+    assert hot is None or model.shape.hot == hot and model.hot_sizes
+    train = [words_of(t) for t in texts.values()]
+    p1, p2, p3 = plain_kneser_ney(train)
+    c1 = collections.Counter(w for x in train for w in x)
+    n, v = sum(c1.values()), len(c1)
+    unknown = b"?unknown"
+    assert abs(sum(p1(w) for w in c1) + p1(unknown) - 1) < 1e-9
+    assert abs(sum(p2(w, b"one") for w in c1) + p2(unknown, b"one") - 1) < 1e-9
+    assert abs(sum(p3(w, b"two", b"one") for w in c1) + p3(unknown, b"two", b"one") - 1) < 1e-9
+    other = docs.sparkSession.createDataFrame([(100, "one two unheard three one"), (101, f"{texts[0]} {texts[1]}")], "doc_id long, text string")
+    texts |= {100: "one two unheard three one", 101: f"{texts[0]} {texts[1]}"}
+    for r in [*language_model.score(docs, model).collect(), *language_model.score(other, model).collect()]:
         if r["doc_id"] is None:
             continue
-        t = [*re.findall(rb"[^\x20\x09-\x0D]+", (texts[r["doc_id"]] or "").encode().lower()), b""]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), len(t), n)
+        t = words_of(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in c1 for w in t), n)
         assert math.isclose(r["base_score"], sum(math.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(u, w)) for u, w in zip([None, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p3(w, a, b)) for a, b, w in zip([None, None, *t], [None, *t], t, strict=False)), rel_tol=1e-9)
     assert language_model.score(empty(docs), model).count() == 0
     nothing = language_model.fit(empty(docs))
     assert {(r["n_known"], r["score"]) for r in language_model.score(docs, nothing).collect()} == {(0, 0.0)}
 
 
 def test_lines_cross_blocks(docs):
-    words = language_model.Words(language_model.fit(docs.where("h = 1")).shape)
-    texts = [b"alpha1 beta2 gamma3", b"", b"delta4"]
-    whole = [np.concatenate(x).tolist() for x in zip(*words.lines(texts, 1000), strict=True)]
-    cut = [np.concatenate(x).tolist() for x in zip(*words.lines(texts, 1), strict=True)]
-    assert whole == cut and whole[0] == [0, 0, 0, 0, 1, 2, 2]
+    shape = language_model.fit(docs.where("h = 1")).shape
+    texts = [b"alpha1 beta2 gamma3 alpha1", b"", b"delta4"]
+    words = language_model.Words(shape)
+
+    def numbers(block):
+        return [np.concatenate(x).tolist() for x in zip(*((t, *(words.number[i] for i in ids)) for t, *ids in words.lines(texts, block)), strict=True)]
+
+    assert numbers(1000) == numbers(1) and numbers(1000)[0] == [0, 0, 0, 0, 0, 1, 2, 2]
+    words.MOST = 1
+    assert numbers(1000) == numbers(1)
+
+
+def test_sorted_hash_arrays():
+    from quadlight.llm.arrays import Table, mix, pack_table
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 4000):
+        keys, other = mix(np.arange(n)), mix(np.arange(n, 2 * n + 3))
+        a, b = rng.integers(0, 300, n), rng.integers(0, 1 << 40, n)
+        table = Table(np.frombuffer(pack_table(keys, a, b), np.uint8))
+        at = table.find(keys)
+        assert (table.values(at, 0) == a).all() and (table.values(at, 1) == b).all()
+        assert (table.find(other) == -1).all() and (table.values(table.find(other), 1) == 0).all()
 
 
 # Decontamination
