@@ -148,14 +148,10 @@ SQL["sum_with_error"] = "SELECT lang AS s, CAST(CASE WHEN count(*) = count(quali
 
 # Modifiers
 
-SPARQL["order_multi"] = "SELECT ?s ?b ?n WHERE { ?c a :Customer ; :mktsegment ?s ; :acctbal ?b ; :name ?n } ORDER BY ?s DESC(?b) ?n LIMIT 50"
-SQL["order_multi"] = "SELECT c_mktsegment AS s, c_acctbal AS b, c_name AS n FROM customer ORDER BY 1, 2 DESC, 3 LIMIT 50"
-SPARQL["order_unbound_first"] = "SELECT ?k ?q WHERE { ?d a :Document ; :chars ?k OPTIONAL { ?d :quality ?q } } ORDER BY ?q ?k LIMIT 20"
-SQL["order_unbound_first"] = "SELECT n_chars AS k, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality NULLS FIRST, n_chars LIMIT 20"
-SPARQL["order_multi_all"] = SPARQL["order_multi"].removesuffix(" LIMIT 50")
-SQL["order_multi_all"] = "SELECT c_mktsegment AS s, c_acctbal AS b, c_name AS n FROM customer ORDER BY 1, 2 DESC, 3"
-SPARQL["order_unbound_first_all"] = SPARQL["order_unbound_first"].removesuffix(" LIMIT 20")
-SQL["order_unbound_first_all"] = "SELECT n_chars AS k, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality NULLS FIRST, n_chars"
+SPARQL["order_multi"] = "SELECT ?s ?b ?n WHERE { ?c a :Customer ; :mktsegment ?s ; :acctbal ?b ; :name ?n } ORDER BY ?s DESC(?b) ?n"
+SQL["order_multi"] = "SELECT c_mktsegment AS s, c_acctbal AS b, c_name AS n FROM customer ORDER BY 1, 2 DESC, 3"
+SPARQL["order_unbound_first"] = "SELECT ?k ?q WHERE { ?d a :Document ; :chars ?k OPTIONAL { ?d :quality ?q } } ORDER BY ?q ?k"
+SQL["order_unbound_first"] = "SELECT n_chars AS k, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality NULLS FIRST, n_chars"
 SPARQL["topk"] = "SELECT ?n ?p WHERE { ?x a :Part ; :name ?n ; :retailprice ?p } ORDER BY DESC(?p) ?n LIMIT 10"
 SQL["topk"] = "SELECT p_name AS n, p_retailprice AS p FROM part ORDER BY 2 DESC, 1 LIMIT 10"
 SPARQL["offset_limit"] = "SELECT ?n WHERE { ?c a :Customer ; :name ?n } ORDER BY ?n OFFSET 20 LIMIT 15"
@@ -240,10 +236,8 @@ SPARQL["concat"] = "SELECT (CONCAT(?b, '-', STR(?z)) AS ?x) WHERE { ?p :brand ?b
 SQL["concat"] = "SELECT p_brand || '-' || p_size AS x FROM part"
 SPARQL["replace"] = "SELECT (REPLACE(?u, '[0-9]+', '<$0>') AS ?x) (REPLACE(?u, 'HTTPS?', 'p', 'i') AS ?y) WHERE { ?p :url ?u }"
 SQL["replace"] = "SELECT regexp_replace(url, '[0-9]+', '<\\0>', 'g') AS x, regexp_replace(url, 'HTTPS?', 'p', 'gi') AS y FROM pages"
-SPARQL["encode_uri"] = "SELECT (ENCODE_FOR_URI(SUBSTR(?t, 1, 60)) AS ?x) WHERE { ?d :text ?t }"
-SQL["encode_uri"] = "SELECT url_encode(substring(text, 1, 60)) AS x FROM documents"
-SPARQL["encode_uri_whole"] = "SELECT (ENCODE_FOR_URI(?t) AS ?x) WHERE { ?d :text ?t }"
-SQL["encode_uri_whole"] = "SELECT url_encode(text) AS x FROM documents"
+SPARQL["encode_uri"] = "SELECT (ENCODE_FOR_URI(?t) AS ?x) WHERE { ?d :text ?t }"
+SQL["encode_uri"] = "SELECT url_encode(text) AS x FROM documents"
 SPARQL["md5_sha1_sha256"] = "SELECT (MD5(?t) AS ?a) (SHA1(?t) AS ?b) (SHA256(?t) AS ?c) WHERE { ?d :text ?t }"
 SQL["md5_sha1_sha256"] = "SELECT md5(text) AS a, sha1(text) AS b, sha256(text) AS c FROM documents"
 SPARQL["sha224_384_512"] = "SELECT ?n (SHA224(?n) AS ?a) (SHA384(?n) AS ?b) (SHA512(?n) AS ?c) WHERE { ?r a :Region ; :name ?n }"
