@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quadlight import terms as T
 from quadlight.sources.ntriples import escape, term_text
+from quadlight.storage import staged
 
 RESULTS = "http://www.w3.org/2005/sparql-results#"
 
@@ -35,19 +36,107 @@ def _turtle_term(c: Column, prefixes: dict[str, str]) -> Column:
     return F.when(c["kind"] == T.IRI, _short(c["lex"], prefixes)).when((c["kind"] == T.LITERAL) & number, c["lex"]).when((c["kind"] == T.LITERAL) & c["dt"].isNotNull(), typed).otherwise(term_text(c))
 
 
-def turtle_lines(quads: DataFrame, prefixes: dict[str, str] | None = None, graphs: bool = False) -> DataFrame:
-    """One column ``value``: the prefixes, then a row for each subject (and with ``graphs`` its graph block, as TriG)."""
+def _lists(quads: DataFrame) -> DataFrame:
+    """(g, head, cell, pos, member): the collections that Turtle can write as lists: blank cells with one first, one rest and
+    nothing else, each but the head the rest of one cell and mentioned nowhere else, the head mentioned at most once, down to
+    nil. Rest links are doubled, not walked."""
+    blank = quads.where(F.col("s.kind") == T.BLANK)
+    is_first, is_rest = (F.col("p.lex") == T.RDF + x for x in ("first", "rest"))
+    cells = blank.groupBy("g", F.col("s.lex").alias("cell")).agg(F.count_if(is_first).alias("f"), F.count_if(is_rest).alias("r"), F.count(F.lit(1)).alias("n"), F.max(F.when(is_first, F.col("o"))).alias("member"), F.max(F.when(is_rest, F.col("o"))).alias("next")).where("f = 1 and r = 1 and n = 2")
+    uses = quads.where(F.col("o.kind") == T.BLANK).groupBy("g", F.col("o.lex").alias("cell")).agg(F.count(F.lit(1)).alias("uses"), F.count_if(is_rest).alias("rests"))
+    cells = cells.join(uses, _same_graph(cells, uses) & (cells["cell"] == uses["cell"]), "left").select(cells["g"], cells["cell"], "member", "next", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("rests", F.lit(0)).alias("rests")).where("uses <= 1")
+    cells = staged(cells, "cells")
+    ends = F.when((F.col("next.kind") == T.IRI) & (F.col("next.lex") == T.RDF + "nil"), "").otherwise(F.when(F.col("next.kind") == T.BLANK, F.col("next.lex")))
+    hops = staged(cells.select("g", "cell", ends.alias("to"), F.lit(1).cast("long").alias("n")).where("to is not null"), "hops")
+    for _ in range(64):  # lists of 2^64 cells
+        ahead = hops.select(F.col("g").alias("h"), F.col("cell").alias("at"), F.col("to").alias("then"), F.col("n").alias("m"))
+        joined = hops.join(ahead, hops["g"].eqNullSafe(ahead["h"]) & (hops["to"] == ahead["at"]) & (hops["to"] != ""), "left")
+        # A hop into a cell that is no part of a list ends nowhere; a circle never comes to nil.
+        doubled = joined.where((F.col("to") == "") | F.col("at").isNotNull()).select("g", "cell", F.when(F.col("to") == "", "").otherwise(F.col("then")).alias("to"), F.when(F.col("to") == "", F.col("n")).otherwise(F.col("n") + F.col("m")).alias("n"))
+        hops = staged(doubled, "hops")
+        open_ends = hops.where("to <> ''")
+        if open_ends.isEmpty() or open_ends.where(F.col("n") <= cells.count()).isEmpty():
+            break
+    whole = hops.where("to = ''").select(F.col("g").alias("h"), F.col("cell").alias("c"), F.col("n").alias("left"))
+    whole = cells.join(whole, cells["g"].eqNullSafe(F.col("h")) & (cells["cell"] == F.col("c"))).select("g", "cell", "member", "next", "left", "rests")
+    whole = staged(whole, "list-cells")
+    # The head of a cell: the cell that no rest points at, found by doubling back over the same links.
+    up = whole.where(F.col("next.kind") == T.BLANK).select(F.col("g").alias("h"), F.col("cell").alias("above"), F.col("next.lex").alias("below"))
+    state = whole.join(up, whole["g"].eqNullSafe(F.col("h")) & (F.col("cell") == F.col("below")), "left").select("g", "cell", F.coalesce("above", "cell").alias("head"), F.col("above").isNull().alias("done"))
+    state = staged(state, "heads")
+    while not state.where("not done").isEmpty():
+        over = state.select(F.col("g").alias("h"), F.col("cell").alias("c"), F.col("head").alias("top"), F.col("done").alias("d"))
+        state = staged(state.join(over, state["g"].eqNullSafe(F.col("h")) & (F.col("head") == F.col("c"))).select("g", "cell", F.col("top").alias("head"), F.col("d").alias("done")), "heads")
+    named = state.select(F.col("g").alias("h"), F.col("cell").alias("c"), "head")
+    return whole.join(named, whole["g"].eqNullSafe(F.col("h")) & (F.col("cell") == F.col("c"))).select("g", "head", "cell", (-F.col("left")).alias("pos"), "member")
+
+
+def _list_texts(cells: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """(h: graph, c: head, list: text) of the lists whose cells are given, lists inside lists first."""
+    known, waiting = cells.select(F.col("g").alias("h"), F.col("head").alias("c"), F.lit("").alias("list")).limit(0), cells
+    while not waiting.isEmpty():
+        inner = waiting.select(F.col("g").alias("h"), F.col("head").alias("c")).distinct()
+        holds = F.col("g").eqNullSafe(F.col("h")) & (F.col("member.kind") == T.BLANK) & (F.col("member.lex") == F.col("c"))
+        later = staged(waiting.join(inner, holds, "left_semi").select(F.col("g").alias("h"), F.col("head").alias("c")).distinct(), "outer-lists")
+        outer = F.col("g").eqNullSafe(F.col("h")) & (F.col("head") == F.col("c"))
+        now = waiting.join(later, outer, "left_anti").join(known, holds, "left")
+        items = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("list", _turtle_term(F.col("member"), prefixes)).alias("t"))))
+        made = now.groupBy(F.col("g").alias("h"), F.col("head").alias("c")).agg(F.concat(F.lit("( "), F.array_join(F.transform(items, lambda x: x["t"]), " "), F.lit(" )")).alias("list"))
+        known, waiting = staged(known.union(made), "list-texts"), staged(waiting.join(later, outer, "left_semi"), "lists-left")
+    return known
+
+
+def _same_graph(a: DataFrame, b: DataFrame) -> Column:
+    return a["g"].eqNullSafe(b["g"])
+
+
+def _folded(pairs: DataFrame, most_depth: int = 32) -> DataFrame:
+    """Statements (g, s, sb, p, o, ob: texts, and the labels of blank nodes) with blank nodes that are mentioned once, as an
+    object, written inside the statement that mentions them. Rounds go from the innermost out; what is still nested after
+    ``most_depth`` of them, and circles, keep their labels."""
+    for _ in range(most_depth):
+        subjects = pairs.where("sb is not null").groupBy("g", "sb").agg(F.count_if(F.col("ob").isNotNull()).alias("open"), F.collect_list(F.struct("p", "o")).alias("said"))
+        uses = pairs.where("ob is not null").groupBy(F.col("g").alias("h"), F.col("ob").alias("c")).agg(F.count(F.lit(1)).alias("uses"))
+        ready = subjects.where("open = 0").join(uses, F.col("g").eqNullSafe(F.col("h")) & (F.col("sb") == F.col("c"))).where("uses = 1")
+        body = F.concat(F.lit("[ "), F.array_join(F.transform(F.array_sort("said"), lambda x: F.concat_ws(" ", x["p"], x["o"])), " ; "), F.lit(" ]"))
+        ready = staged(ready.select(F.col("g").alias("rg"), F.col("sb").alias("label"), body.alias("body")), "nested")
+        if ready.isEmpty():
+            break
+        left = pairs.join(ready, pairs["g"].eqNullSafe(F.col("rg")) & (F.col("sb") == F.col("label")), "left_anti")
+        put = left.join(ready, left["g"].eqNullSafe(F.col("rg")) & (F.col("ob") == F.col("label")), "left")
+        pairs = staged(put.select("g", "s", "sb", "p", F.coalesce("body", "o").alias("o"), F.when(F.col("body").isNull(), F.col("ob")).alias("ob")), "folded")
+    return pairs
+
+
+def turtle_lines(quads: DataFrame, prefixes: dict[str, str] | None = None, graphs: bool = False, nested: bool = True) -> DataFrame:
+    """One column ``value``: the prefixes, then a row for each subject (and with ``graphs`` its graph block, as TriG).
+
+    ``nested``: collections are written as lists, and blank nodes that are mentioned once inside the statement that
+    mentions them; else every blank node has its label."""
     prefixes = prefixes or {}
-    g = [F.col("g")] if graphs and "g" in quads.columns else []
+    graph = F.col("g") if graphs and "g" in quads.columns else F.lit(None).cast("string")
+    quads = quads.select("s", "p", "o", graph.alias("g"))
     verb = F.when(F.col("p.lex") == T.RDF + "type", "a").otherwise(_short(F.col("p.lex"), prefixes))
-    pairs = quads.select(_turtle_term(F.col("s"), prefixes).alias("s"), verb.alias("p"), _turtle_term(F.col("o"), prefixes).alias("o"), *g)
-    keys = ["g"] if g else []
-    objects = pairs.groupBy("s", "p", *keys).agg(F.array_join(F.array_sort(F.collect_set("o")), " , ").alias("o"))
+    label = lambda c: F.when(F.col(f"{c}.kind") == T.BLANK, F.col(f"{c}.lex"))
+    if nested and not quads.where(F.col("s.kind") == T.BLANK).isEmpty():
+        quads = staged(quads.distinct(), "turtle")
+        cells = staged(_lists(quads).join(quads.where(F.col("o.kind") == T.BLANK).select(F.col("g").alias("h"), F.col("o.lex").alias("c")).distinct(), F.col("g").eqNullSafe(F.col("h")) & (F.col("head") == F.col("c")), "left_semi"), "lists")
+        gone = cells.select(F.col("g").alias("h"), F.col("cell").alias("c"))
+        said = quads.join(gone, F.col("g").eqNullSafe(F.col("h")) & (F.col("s.kind") == T.BLANK) & (F.col("s.lex") == F.col("c")), "left_anti")
+        texts = _list_texts(cells, prefixes)
+        said = said.join(texts, F.col("g").eqNullSafe(F.col("h")) & (F.col("o.kind") == T.BLANK) & (F.col("o.lex") == F.col("c")), "left")
+        # A blank node that is a member of a list is mentioned there, so it keeps its label.
+        listed = cells.where(F.col("member.kind") == T.BLANK).select(F.col("g").alias("mg"), F.col("member.lex").alias("m")).distinct().withColumn("member_too", F.lit(True))
+        rows = said.select("g", _turtle_term(F.col("s"), prefixes).alias("s"), label("s").alias("sb"), verb.alias("p"), F.coalesce("list", _turtle_term(F.col("o"), prefixes)).alias("o"), F.when(F.col("list").isNull(), label("o")).alias("ob"))
+        held = rows.join(listed, F.col("g").eqNullSafe(F.col("mg")) & (F.col("sb") == F.col("m")), "left")
+        pairs = _folded(held.select("g", "s", F.when(F.col("member_too").isNull(), F.col("sb")).alias("sb"), "p", "o", "ob")).select("g", "s", "p", "o")
+    else:
+        pairs = quads.select("g", _turtle_term(F.col("s"), prefixes).alias("s"), verb.alias("p"), _turtle_term(F.col("o"), prefixes).alias("o")).distinct()
+    objects = pairs.groupBy("s", "p", "g").agg(F.array_join(F.array_sort(F.collect_list("o")), " , ").alias("o"))
     said = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))), " ;\n\t")
-    rows = objects.groupBy("s", *keys).agg(F.concat(F.col("s"), F.lit(" "), said, F.lit(" .")).alias("value"))
-    if g:
-        name = F.when(F.col("g").startswith("_:"), F.col("g")).otherwise(_short(F.col("g"), prefixes))
-        rows = rows.select("s", F.when(F.col("g").isNull(), F.col("value")).otherwise(F.concat(name, F.lit(" {\n"), F.col("value"), F.lit("\n}"))).alias("value"))
+    rows = objects.groupBy("s", "g").agg(F.concat(F.col("s"), F.lit(" "), said, F.lit(" .")).alias("value"))
+    name = F.when(F.col("g").startswith("_:"), F.col("g")).otherwise(_short(F.col("g"), prefixes))
+    rows = rows.select("s", F.when(F.col("g").isNull(), F.col("value")).otherwise(F.concat(name, F.lit(" {\n"), F.col("value"), F.lit("\n}"))).alias("value"))
     head = "".join(f"@prefix {k}: <{v}> .\n" for k, v in sorted(prefixes.items()))
     first = quads.sparkSession.range(1).select(F.lit(0).alias("_o"), F.lit(head).alias("value"), F.lit("").alias("s"))
     return first.where(F.lit(bool(head))).union(rows.select(F.lit(1), "value", "s")).orderBy("_o", "s", "value").select("value")

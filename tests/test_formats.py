@@ -39,6 +39,27 @@ def test_round_trips(spark, quads, tmp_path):
     assert same(named, documents.frame(spark, documents.turtle(trig)))
 
 
+NESTED = """@prefix : <http://x/> .
+:a :list (1 "two" :three (4 5) [ :in :list ]) ; :none () ; :deep [ :b [ :c [ :d 1 , 2 ] ; :e "x" ] ] .
+:b :twice _:t . :c :twice _:t . _:t :v 1 .
+_:x :next _:y . _:y :next _:x . _:alone :v 3 .
+:d :open _:o . _:o <http://www.w3.org/1999/02/22-rdf-syntax-ns#first> 1 ; <http://www.w3.org/1999/02/22-rdf-syntax-ns#rest> :elsewhere .
+:e :shared _:l . :f :shared _:l . _:l <http://www.w3.org/1999/02/22-rdf-syntax-ns#first> 1 ; <http://www.w3.org/1999/02/22-rdf-syntax-ns#rest> () .
+"""
+
+
+@pytest.mark.parametrize("graphs", [False, True])
+def test_nested_turtle(spark, graphs):
+    body = NESTED if not graphs else NESTED.replace(":b :twice", ":g1 { :a :list (7 [ :in :g1 ]) . :q :deep [ :z 1 ] } :b :twice", 1)
+    quads = documents.frame(spark, documents.turtle(body))
+    lines = [r[0] for r in serializers.turtle_lines(quads, {"": "http://x/"}, graphs=graphs).collect()]
+    text = "\n".join(lines)
+    assert same(quads, documents.frame(spark, documents.turtle(text)))
+    assert '( 1 "two" :three ( 4 5 ) ' in text and '[ :b [ :c [ :d 1 ; :d 2 ] ; :e "x" ] ]' in text
+    labelled = "\n".join(r[0] for r in serializers.turtle_lines(quads, {}, graphs=graphs, nested=False).collect())
+    assert "[" not in labelled and same(quads, documents.frame(spark, documents.turtle(labelled)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=30))
 def test_turtle_strings(value):
