@@ -48,7 +48,7 @@ class ArrayStore:
                 while len(_read) > 1 and sum(map(len, _read.values())) > MOST_READ:
                     _read.popitem(last=False)
                 return _read[key]
-            _maps[key] = np.memmap(f"{base}/{name}", np.uint8, "r") if fs.get_file_info(f"{base}/{name}").size else np.zeros(0, np.uint8)
+            _maps[key] = np.memmap(f"{base}/{name}", np.uint8, "r").view(np.ndarray) if fs.get_file_info(f"{base}/{name}").size else np.zeros(0, np.uint8)
         return _maps[key]
 
     def forget(self) -> None:
@@ -80,7 +80,7 @@ def expand(data: bytes, columns: int) -> list[np.ndarray]:
 
 def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys with the sums of their counts (of ones, if none are given)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     if not counts:

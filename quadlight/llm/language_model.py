@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ FILE_TOKENS = 4_000_000
 SHIFT, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
-def _hash(word: bytes) -> int:
+def _hashes(words: Iterable[bytes], n: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word, 42)
+    return np.fromiter(map(xxh64_intdigest, words, repeat(42)), np.uint64, n)
 
 
 @dataclass
@@ -69,7 +70,7 @@ class Words:
     Words get a place in a table: the first met, so mostly the frequent ones, for good, others for one call. ``columns``
     gives further rows of the table for new numbers."""
 
-    MOST = 300_000
+    MOST = 500_000
 
     def __init__(self, shape: Shape, columns: Callable[[np.ndarray], np.ndarray] | None = None, rows: int = 0):
         self.shape, self.store, self.columns = shape, ArrayStore(shape.uri), columns
@@ -106,12 +107,12 @@ class Words:
 
     def places(self, words: list[bytes | None]) -> np.ndarray:
         """The places of words in the table; None is the start."""
-        get = self.seen.get
-        out = np.array([get(w, -1) for w in words], np.int64)
+        out = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
         if len(at := np.flatnonzero(out < 0)):
-            new: dict[bytes, int] = {}
-            back = [new.setdefault(words[i], len(new)) for i in at]
-            self._put(self.find(np.array([_hash(w) for w in new], np.uint64)))
+            missing = list(map(words.__getitem__, at.tolist()))
+            new = {w: k for k, w in enumerate(dict.fromkeys(missing))}
+            back = list(map(new.__getitem__, missing))
+            self._put(self.find(_hashes(new, len(new))))
             first = len(self.seen)
             out[at] = first + np.array(back)
             room = max(0, self.MOST - first)
@@ -197,7 +198,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            hashes = np.array([_hash(w) for w in seen], np.uint64)
+            hashes = _hashes(seen, len(seen))
             out = pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h", "c"])
             seen.clear()
             return out
@@ -427,7 +428,7 @@ def fit(docs: DataFrame, text_col: str = "text", owner: str = "") -> KneserNey:
     if not shape.tokens:
         return KneserNey(shape, {}, {}, set(), none, none, none, 0, 1.0)
     end = Words(shape)
-    shape.texts = int(end.counts(end.find(np.array([_hash(END)], np.uint64)))[0])
+    shape.texts = int(end.counts(end.find(_hashes([END], 1)))[0])
     end.store.forget()
     stats = staged(_store_triples(_count_triples(texts, shape), shape), "lm-stats", owner)
     about = {r[0]: json.loads(r[1]) for r in stats.where(F.col("kind") == ABOUT).select("file", "run").collect()}  # a row for each file
