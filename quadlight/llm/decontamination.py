@@ -6,7 +6,7 @@
 2. A randomised SVD of the TF-IDF matrix of passages gives every term a latent vector. The matrix holds all benchmark
    items and the passages of a bounded sample of documents (``most_sample`` rows, the first by the hash of their id);
    its products with the test matrix are computed on the executors and summed by term.
-3. Every document is read whole. Windows of 40 words slide over it in steps of 16, and for items of fewer than 16 words
+3. Every document is read whole. Windows of 40 words slide over it in steps of 16, and for items of fewer than 12 words
    windows of 24 in steps of 8; a window whose cosine with an item reaches ``least_cosine`` is a candidate.
 4. Candidates are checked exactly on the words around the window: the longest common subsequence of words, and the same
    for the answer, the item's last sentence. Much of the text in order is a leak in itself; half of it, with the answer,
@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,11 @@ BLOCK = 8
 #: A window's blocks, and the blocks to the next window.
 WINDOW, STEP = 5, 2
 #: The same for items of fewer words than ``SHORT``: each then lies in some window as a whole.
-SHORT, SHORT_WINDOW, SHORT_STEP = 16, 3, 1
+SHORT, SHORT_WINDOW, SHORT_STEP = 12, 3, 1
 #: Terms in more than this share of the documents may be copies of a leak: the benchmark says how common they are.
 COMMON = 0.1
+#: Terms up to which a set of them is a whole number.
+MOST_BITS = 1 << 14
 
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(128)) + bytes(range(128, 256))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -52,8 +55,8 @@ def words(text: bytes | None) -> list[bytes]:
 
 def term_numbers(text: bytes | None, numbers: dict[bytes, int]) -> np.ndarray:
     """The words of a text as numbers; -1 for words that the benchmark does not have."""
-    get = numbers.get
-    return np.array([get(w, -1) for w in words(text)], np.int32)
+    found = words(text)
+    return np.fromiter(map(numbers.get, found, repeat(-1)), np.int32, len(found))
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -87,11 +90,24 @@ class Index:
 
     def __post_init__(self):
         self.terms = [frozenset(t) for t in self.texts]
+        # Of a small vocabulary sets of terms are whole numbers, a bit for each term.
+        small = len(self.numbers) <= MOST_BITS
+        self.masks = [sum(1 << t for t in terms) for terms in self.terms] if small else None
         self.spare = [len(t) - math.ceil(self.least_lcs * len(t) - 1e-9) for t in self.texts]
 
-    def holds(self, item: int, there: set[int]) -> bool:
+    def present(self, region: np.ndarray) -> int | set[int]:
+        """The terms of a region, for ``holds``."""
+        if self.masks is None:
+            return set(region.tolist())
+        flags = np.zeros(len(self.numbers) + 1, bool)
+        flags[region] = True  # -1, for other words, is the last
+        flags[-1] = False
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    def holds(self, item: int, there: int | set[int]) -> bool:
         """Whether enough of the item's words are there for a longest common subsequence of ``least_lcs``."""
-        return len(self.terms[item] - there) <= self.spare[item]
+        missing = len(self.terms[item] - there) if self.masks is None else (self.masks[item] & ~there).bit_count()
+        return missing <= self.spare[item]
 
     def size(self, item: int) -> int:
         return len(self.texts[item])
@@ -108,7 +124,7 @@ class Index:
         """(longest common subsequence, answer's) as shares of the item, if they make a leak."""
         text, answer = self.texts[item], self.answers[item]
         there = region[region >= 0].tolist()
-        if not self.holds(item, set(there)):
+        if not self.holds(item, self.present(region)):
             return None
         share = lcs(text, there) / len(text)
         if share < self.least_lcs:
@@ -147,7 +163,7 @@ def candidates(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int,
 
 def _near(index: Index, docs: list[np.ndarray], first: np.ndarray, sums: np.ndarray, at: np.ndarray, doc: np.ndarray, width: int, own: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
     """The candidates among the items ``own`` in windows of ``width`` blocks that begin at the blocks ``at``."""
-    vectors = index.vectors[own].T
+    vectors, reaches = index.vectors[own].T, [index.reach(k) for k in range(len(index.texts))]
     for lo in range(0, len(at), 1 << 13):
         here, mine = at[lo : lo + (1 << 13)], doc[lo : lo + (1 << 13)]
         w = sums[here]
@@ -164,8 +180,8 @@ def _near(index: Index, docs: list[np.ndarray], first: np.ndarray, sums: np.ndar
             d = int(mine[i])
             start = int(here[i] - first[d]) * BLOCK
             end = min(start + width * BLOCK, len(docs[d]))
-            reach = index.reach(max(items[a:b], key=index.size))
-            there = set(docs[d][max(0, start - reach) : end + reach].tolist())
+            reach = max(map(reaches.__getitem__, items[a:b]))
+            there = index.present(docs[d][max(0, start - reach) : end + reach])
             for k in range(a, b):
                 if index.holds(items[k], there):
                     yield d, start, end, items[k], cosines[k]
@@ -178,7 +194,7 @@ def leaks(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, float, f
     for d, start, end, item, cosine in candidates(index, docs):
         size, half, reach = index.size(item), index.half(item), index.reach(item)
         middle = (start + end) // 2
-        if not index.holds(item, set(docs[d][max(0, start - reach) : end + reach].tolist())):
+        if not index.holds(item, index.present(docs[d][max(0, start - reach) : end + reach])):
             continue
         # The window may hold only a part of the item, which then reaches to either side.
         for at in {middle, max(start, middle - size // 2), min(end, middle + size // 2)}:
@@ -200,8 +216,8 @@ def _frequencies(docs: DataFrame, text_col: str, numbers: dict[bytes, int]) -> t
         total = np.zeros(len(sent.value) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                here = np.unique(term_numbers(text, sent.value))
-                total[here[here >= 0]] += 1
+                there = set(words(text)) & sent.value.keys()
+                total[np.fromiter(map(sent.value.get, there), np.int64, len(there))] += 1
                 total[-1] += 1
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["term", "n"])

@@ -103,6 +103,24 @@ def brute_leaks(texts, items):
     return found
 
 
+def test_sets_of_terms_as_numbers(monkeypatch):
+    rng = np.random.default_rng(36)
+    texts = [rng.integers(0, 60, int(rng.integers(3, 30))).tolist() for _ in range(20)]
+    numbers = {b"w%d" % i: i for i in range(60)}
+
+    def index():
+        return decontamination.Index(list(range(20)), texts, texts, numbers, np.ones(60), np.zeros((60, 2)), np.zeros((20, 2)), 0.5)
+
+    small = index()
+    monkeypatch.setattr(decontamination, "MOST_BITS", 0)
+    large = index()
+    for _ in range(200):
+        region = rng.integers(-1, 60, int(rng.integers(0, 50)))
+        a, b = small.present(region), large.present(region)
+        assert isinstance(a, int) and isinstance(b, set)
+        assert [small.holds(i, a) for i in range(20)] == [large.holds(i, b) for i in range(20)]
+
+
 def test_leaks_by_brute_force(spark, capsys):
     """Verbatim items, items with words exchanged, left out and put in, and items cut at the end of a document; items of
     5 to 60 words. Recall against brute force, and nothing beyond it."""
