@@ -275,6 +275,18 @@ def test_large_conversations_keep_their_turns(spark, tmp_path):
     assert [r[0] for r in chat.format_chats(broken).select("layout").collect()] == [None]
 
 
+def test_conversations_with_other_columns_and_ties(spark):
+    rows = [(1, 0, "user", "a", "x", 1), (1, 0, "user", "a", "x", 1), (1, 0, "assistant", None, "x", 2), (2, None, None, "b", "x", 3)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, record string, turns int")
+    done = chat.format_turns(chat.struct_turns(chat.conversations_as_structs(frame)))
+    got = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in done.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [("assistant", ""), ("user", "a"), ("user", "a")], 2: [("", "b")]}
+    assert {r["layout"] for r in done.collect()} == {"messages"}
+    assert chat.struct_turns(chat.conversations_as_structs(frame.where("false"))).count() == 0
+    other = spark.createDataFrame([(("p", "r", "more"),), (("p", None, "more"),)], "record struct<prompt: string, response: string, id: string>")
+    assert [[tuple(t) for t in r["turns"]] for r in chat.struct_turns(other).collect()] == [[("user", "p"), ("assistant", "r")], [("user", "p"), ("assistant", "")]]
+
+
 # Licences
 
 
