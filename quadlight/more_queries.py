@@ -401,6 +401,12 @@ def graphviz_lines(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in text.split("\n")[1:-1]], "line string")
 
 
+@_made("graph_as_dict", f"SELECT {_iri('n_nationkey')} AS s, n_name AS o, 'literal' AS type FROM nation")
+def graph_as_dict(spark, sf_dir):
+    found = serializers.as_dict(nation_quads(spark, sf_dir).filtered("p.lex like '%name'").all_quads())
+    return spark.createDataFrame([(s, o["value"], o["type"]) for s, said in found.items() for o in said[f"{BASE}step#name"]], "s string, o string, type string")
+
+
 @_made("patch_roundtrip", f"SELECT 'D' AS op, {_iri('n_nationkey')} AS s, n_name AS o FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'A', {_iri('n_nationkey')}, lower(n_name) FROM nation WHERE n_regionkey = 1")
 def patch_roundtrip(spark, sf_dir):
     """The changes of an update, written as patch lines and read again."""

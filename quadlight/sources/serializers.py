@@ -267,6 +267,23 @@ def rdf_xml(quads: DataFrame) -> str:
     return ET.tostring(root, encoding="unicode")
 
 
+def as_dict(quads: DataFrame, most: int = 100_000) -> dict[str, dict[str, list[dict[str, str]]]]:
+    """Subjects to predicates to lists of objects ({type, value, lang, datatype}), as RDF/JSON has them: for graphs that fit
+    one program. More than ``most`` statements are an error, found before anything is collected."""
+    rows = quads.select("s", "p", "o").distinct()
+    if (n := rows.limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} statements ({n} or more); write them as lines instead")
+    out: dict[str, dict[str, list[dict[str, str]]]] = {}
+    for (line,) in rdf_json_lines(rows).collect():
+        out |= json.loads(line)
+    return out
+
+
+def as_text(quads: DataFrame, n: int = 100) -> str:
+    """A table of the first statements, for people to look at."""
+    return text_table(quads.select("s", "p", "o").distinct().orderBy("s", "p", "o"), n)
+
+
 def graphviz(quads: DataFrame) -> str:
     quote = lambda t: json.dumps(t["lex"], ensure_ascii=False)
     rows = "\n".join(f"  {quote(r['s'])} -> {quote(r['o'])} [label={quote(r['p'])}];" for r in quads.select("s", "p", "o").distinct().orderBy("s", "p", "o").toLocalIterator())

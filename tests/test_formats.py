@@ -101,6 +101,10 @@ def test_results(spark, quads):
     assert serializers.tsv_lines(rows).first()[0] == "?s\t?o"
     assert "| http://x/a |" in serializers.text_table(rows)
     assert serializers.graphviz(quads).startswith("digraph")
+    assert serializers.as_dict(quads)["http://x/f"] == {"http://x/g": [{"type": "literal", "value": "t", "datatype": "http://x/ty"}]}
+    assert "| http://x/f " in serializers.as_text(quads)
+    with pytest.raises(ValueError, match="more than 2"):
+        serializers.as_dict(quads, most=2)
 
 
 def test_patch_and_feed(spark, quads, tmp_path):
