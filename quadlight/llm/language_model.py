@@ -70,7 +70,7 @@ class Words:
     Words get a place in a table: the first met, so mostly the frequent ones, for good, others for one call. ``columns``
     gives further rows of the table for new numbers."""
 
-    MOST = 500_000
+    MOST = 600_000
 
     def __init__(self, shape: Shape, columns: Callable[[np.ndarray], np.ndarray] | None = None, rows: int = 0):
         self.shape, self.store, self.columns = shape, ArrayStore(shape.uri), columns
@@ -161,8 +161,8 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.uint64) << SHIFT) | b.astype(np.uint64)
 
 
-def _triple_hash(pairs: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return mix(mix(pairs) + mix(u.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)))
+def _triple_hash(hashed_pairs: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return mix(hashed_pairs + mix(u.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _file_of(pairs: np.ndarray, hot: np.ndarray, files: int) -> np.ndarray:
@@ -298,9 +298,10 @@ def _store_triples(runs: DataFrame, shape: Shape) -> DataFrame:
         pairs, at, u, counts = _summed_triples(*(np.concatenate([c[i] for c in columns]) for i in range(3)))
         del columns
         store = ArrayStore(shape.uri)
-        store.write(f"triples-{k}", pack_table(_triple_hash(pairs[at], u), counts))
+        hashed = mix(pairs)
+        store.write(f"triples-{k}", pack_table(_triple_hash(hashed[at], u), counts))
         n = np.bincount(at, minlength=len(pairs))
-        store.write(f"pairs-{k}", pack_table(mix(pairs), n))
+        store.write(f"pairs-{k}", pack_table(hashed, n))
         # Contexts u v: what follows them, by how often it does.
         v = pairs >> SHIFT
         which = [(counts == 1).astype(np.uint64), (counts == 2).astype(np.uint64), (counts >= 3).astype(np.uint64)]
@@ -497,7 +498,7 @@ class Scorer:
         order = _by_file(file)
         u, v, w, at, hot, pairs, file, follow = (x[order] for x in (u, v, w, at, hot, pairs, file, follow))
         before, known, hashed = number[u], number[w] >= 0, mix(pairs)
-        triples = _triple_hash(pairs, np.maximum(before, 0))
+        triples = _triple_hash(hashed, np.maximum(before, 0))
         contexts = mix(_pairs(np.maximum(before, 0), number[v]))
         n, c, total, freed = (np.zeros(len(at)) for _ in range(4))
         for k, a, b in _runs(file):
