@@ -4,8 +4,8 @@
    that is in over a tenth of these is as common as it is in the other items, if that is less: words that copies of a
    leak have made frequent keep their weight. No term weighs nothing.
 2. A randomised SVD of the TF-IDF matrix of passages gives every term a latent vector. The matrix holds all benchmark
-   items and the passages of a bounded sample of documents (``most_sample`` rows, the first by the hash of their id);
-   its products with the test matrix are computed on the executors and summed by term.
+   items and the passages of all documents, which are read once and written as numbers of terms; its products with the
+   test matrix are computed and summed by term on the executors.
 3. Every document is read whole. Windows of 40 words slide over it in steps of 16, and for items of fewer than 12 words
    windows of 24 in steps of 8; a window whose cosine with an item reaches ``least_cosine`` is a candidate.
 4. Candidates are checked exactly on the words around the window: the longest common subsequence of words, and the same
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlight.llm.common import staged, trimmed
+from quadlight.llm.common import remove, scratch_path, staged, trimmed
 
 BLOCK = 8
 #: A window's blocks, and the blocks to the next window.
@@ -208,74 +208,127 @@ def leaks(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, float, f
     return [(d, *b[1:]) for d, b in best.items()]
 
 
-def _frequencies(docs: DataFrame, text_col: str, numbers: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each term is, over all of them, and their number."""
-    sent = docs.sparkSession.sparkContext.broadcast(numbers)
+def _passages(docs: DataFrame, text_col: str, numbers: dict[bytes, int]) -> DataFrame:
+    """For each document, the term numbers of its words that the benchmark has, and how many of them are in each of its
+    passages."""
+    sent, passage = docs.sparkSession.sparkContext.broadcast(numbers), BLOCK * WINDOW
+    kind = _kind(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value) + 1, np.int64)
         for batch in batches:
+            terms, sizes = [], []
             for text in batch.column(0).to_pylist():
-                there = set(words(text)) & sent.value.keys()
-                total[np.fromiter(map(sent.value.get, there), np.int64, len(there))] += 1
-                total[-1] += 1
+                ids = term_numbers(text, sent.value)
+                parts = max(1, len(ids) // passage)
+                here = np.flatnonzero(ids >= 0)
+                ends = np.arange(1, parts + 1) * len(ids) // parts
+                terms.append(ids[here].astype(kind).tobytes())
+                sizes.append(np.diff(np.searchsorted(here, ends), prepend=0).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(sizes, pa.binary())], ["terms", "sizes"])
+
+    return docs.select(F.col(text_col).cast("binary")).mapInArrow(trimmed(run), "terms binary, sizes binary")
+
+
+def _kind(numbers: dict[bytes, int]) -> str:
+    return "<u2" if len(numbers) <= 1 << 16 else "<u4"
+
+
+def _frequencies(passages: DataFrame, numbers: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """In how many documents each term is, over all of them, and their number."""
+    kind, width = _kind(numbers), len(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1, np.int64)
+        for batch in batches:
+            terms = [np.frombuffer(t, kind) for t in batch.column(0).to_pylist()]
+            if terms:
+                owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+                total[:-1] += np.bincount(np.unique(owner * width + np.concatenate(terms)) % width, minlength=width)
+                total[-1] += len(terms)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["term", "n"])
 
-    counted = docs.select(F.col(text_col).cast("binary")).mapInArrow(trimmed(run), "term long, n long").groupBy("term").agg(F.sum("n"))
-    out = np.zeros(len(numbers) + 1, np.int64)
+    counted = passages.select("terms").mapInArrow(trimmed(run), "term long, n long").groupBy("term").agg(F.sum("n"))
+    out = np.zeros(width + 1, np.int64)
     for term, n in counted.collect():  # a row for each term of the slice
         out[term] = n
     return out[:-1], int(out[-1])
 
 
-def _latent(docs: DataFrame, id_col: str, text_col: str, items: list[list[int]], numbers: dict[bytes, int], weights: np.ndarray, dimensions: int, most_sample: int, owner: str, rounds: int = 2, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (terms, dimensions) of the TF-IDF matrix of passages, by randomised subspace iteration."""
-    spark, passage = docs.sparkSession, BLOCK * WINDOW
-    ids = docs.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most_sample)
-    # Of repeated ids one text is taken, so the sample stays as small as it is meant to be.
-    sample = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("_t").cast("binary").alias("_t"))
-    parts = max(1, min(8, most_sample // 250))
-    sent = spark.sparkContext.broadcast(numbers)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                ids = term_numbers(text, sent.value)
-                out += [p[p >= 0].astype("<i4").tobytes() for p in np.array_split(ids, max(1, len(ids) // passage))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["p"])
-
-    passages = staged(sample.select("_t").mapInArrow(trimmed(cut), "p binary").where("octet_length(p) > 0").repartition(parts), "passages", owner)
+def _run_sums(rows: np.ndarray, at: np.ndarray, sizes: np.ndarray, most: int = 32, block: int = 1 << 10) -> np.ndarray:
+    """The sums of the rows ``at`` over runs of ``sizes``, all above zero, one after another. Runs are cut into pieces of
+    at most ``most``, and pieces are summed side by side, then the pieces of a run: faster than reduceat."""
+    pieces, ends = -(-sizes // most), np.cumsum(sizes)
+    first = np.cumsum(pieces) - pieces
+    start = np.repeat(ends - sizes, pieces) + most * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+    length = np.minimum(most, np.repeat(ends, pieces) - start)
+    order = np.argsort(-length, kind="stable")
+    out = np.empty((len(start), rows.shape[1]), rows.dtype)
+    for lo in range(0, len(order), block):
+        here = order[lo : lo + block]
+        begin, size = start[here], length[here]
+        sums = rows[at[begin]]
+        for k in range(1, int(size[0])):
+            n = int(np.searchsorted(-size, -k))
+            sums[:n] += rows[at[begin[:n] + k]]
+        out[here] = sums
+    return out if len(out) == len(sizes) else _run_sums(out, np.arange(len(out)), pieces)
+
+
+def _product(terms: np.ndarray, sizes: np.ndarray, weights: np.ndarray, q: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """A' (A q) for passages of ``sizes`` terms, one after another, each a row of A of length 1."""
+    out, weighted = np.zeros(q.shape), (q * weights[:, None]).astype(np.float32)
+    sizes = sizes[sizes > 0].astype(np.int64)
+    ends = np.cumsum(sizes)
+    for lo in range(0, len(sizes), block):
+        size = sizes[lo : lo + block]
+        here = terms[ends[lo] - size[0] : ends[lo] - size[0] + size.sum()]
+        owner = np.repeat(np.arange(len(size)), size)
+        pairs, n = np.unique(owner * len(weights) + here, return_counts=True)
+        square = np.bincount(pairs // len(weights), (n * weights[pairs % len(weights)]) ** 2, len(size))
+        # The length of a row divides both factors, A' and A.
+        y = _run_sums(weighted, here, size) / square[:, None].astype(np.float32)
+        n = np.bincount(here, minlength=len(weights))
+        used = np.flatnonzero(n)
+        out[used] += _run_sums(y, owner[np.argsort(here, kind="stable")], n[used])
+    return out * weights[:, None]
+
+
+def _latent(passages: DataFrame, rows: int, items: list[list[int]], numbers: dict[bytes, int], weights: np.ndarray, dimensions: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
+    """Right singular vectors (terms, dimensions) of the TF-IDF matrix of the passages of all ``rows`` documents, by
+    randomised subspace iteration."""
+    context, kind = passages.sparkSession.sparkContext, _kind(numbers)
     rng = np.random.default_rng(seed)
     basis = np.linalg.qr(rng.normal(size=(len(numbers), dimensions)))[0].astype(np.float32)
+    own, own_sizes = np.concatenate([np.array(t, np.int64) for t in items]), np.array([len(t) for t in items])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for term, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums[term] = sums.get(term, 0) + np.frombuffer(row, "<f4").astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([r.astype("<f4").tobytes() for r in sums.values()], pa.binary())], ["term", "row"])
 
-    def times(rows: list[np.ndarray], q: np.ndarray) -> np.ndarray:
-        """A' (A q) for rows of term numbers, each scaled to length 1."""
-        out = np.zeros_like(q)
-        for p in rows:
-            ids, n = np.unique(p, return_counts=True)
-            x = n * weights[ids]
-            x = (x / max(math.sqrt(float(x @ x)), 1e-12)).astype(np.float32)
-            out[ids] += np.outer(x, x @ q[ids])
-        return out
-
-    own = [np.array(t, np.int64) for t in items]
     for _ in range(rounds):
-        q = spark.sparkContext.broadcast(basis)
+        q = context.broadcast((basis, weights))
 
         def product(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            out = np.zeros_like(q.value)
+            basis, weights = q.value
+            out = np.zeros(basis.shape)
             for batch in batches:
-                out += times([np.frombuffer(p, "<i4") for p in batch.column(0).to_pylist()], q.value)
+                terms, sizes = (np.frombuffer(b"".join(batch.column(c).to_pylist()), k) for c, k in ((0, kind), (1, "<u2")))
+                out += _product(terms, sizes, weights, basis)
             used = np.flatnonzero(np.abs(out).sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([r.astype("<f4").tobytes() for r in out[used]], pa.binary())], ["term", "row"])
 
-        # Items count as much as the whole sample: what they have to themselves must not drown.
-        total = times(own, basis) * max(1.0, most_sample / max(1, len(own)))
-        for term, row in passages.mapInArrow(trimmed(product), "term long, row binary").toLocalIterator():  # parts * terms rows at most
+        # Summed in one order, so that another run gives the same vectors.
+        parts = passages.select("terms", "sizes").mapInArrow(trimmed(product), "term long, row binary").select("term", F.spark_partition_id().alias("part"), "row")
+        sums = parts.repartition("term").sortWithinPartitions("term", "part").mapInArrow(trimmed(summed), "term long, row binary")
+        # Items count as much as all documents: what they have to themselves must not drown.
+        total = _product(own, own_sizes, weights, basis) * max(1.0, rows / len(items))
+        for term, row in sums.collect():  # a row for each term of the slice
             total[term] += np.frombuffer(row, "<f4")
-        basis = np.linalg.qr(total.astype(np.float64))[0].astype(np.float32)
+        basis = np.linalg.qr(total)[0].astype(np.float32)
     return basis
 
 
@@ -295,17 +348,22 @@ def term_weights(frequency: np.ndarray, n: int, texts: list[list[int]]) -> np.nd
     return -np.log(np.minimum(share, np.maximum(others / len(texts), COMMON))) + 0.01
 
 
-def build_index(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col: str, dimensions: int, most_sample: int, least_cosine: float, owner: str = "") -> Index | None:
+def build_index(docs: DataFrame, items: list[tuple[int, str]], text_col: str, dimensions: int, least_cosine: float, owner: str = "") -> Index | None:
+    """The items with vectors by all of ``docs``. The passages, which each slice has of its own, are deleted at the end."""
     texts = [words(t.encode()) for _, t in items]
     kept = [item for item, ws in zip(items, texts, strict=True) if ws]
     numbers = {w: k for k, w in enumerate(sorted({w for ws in texts for w in ws}))}
     if not kept:
         return None
-    frequency, n = _frequencies(docs, text_col, numbers)
     texts = [[numbers[w] for w in ws] for ws in texts if ws]
     answers = [[numbers[w] for w in words(_answer(t).encode())] for _, t in kept]
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "passages", owner)
+    _passages(docs, text_col, numbers).write.parquet(path)
+    passages = spark.read.schema("terms binary, sizes binary").parquet(path)
+    frequency, n = _frequencies(passages, numbers)
     weights = term_weights(frequency, n, texts)
-    basis = _latent(docs, id_col, text_col, texts, numbers, weights, min(dimensions, len(numbers)), most_sample, owner)
+    basis = _latent(passages, n, texts, numbers, weights, min(dimensions, len(numbers)))
+    remove(spark, path)
     latent = (basis * weights[:, None]).astype(np.float32)
     vectors = _unit(np.array([latent[t].sum(axis=0) for t in texts])).astype(np.float32)
     return Index([i for i, _ in kept], texts, answers, numbers, weights, latent, vectors, least_cosine)
@@ -353,7 +411,6 @@ def decontaminate(
     item_text_col: str = "text",
     keep: list[str] | None = None,
     dimensions: int = 128,
-    most_sample: int = 2000,
     least_cosine: float = 0.5,
     slice_bytes: int = 4 << 20,
     owner: str = "",
@@ -377,7 +434,7 @@ def decontaminate(
     state = [f"_{c}" for c in names]
     for k in range(slices):
         part = sorted((r[0] if r[0] is not None else -1, r[1]) for r in items.where(F.pmod(F.xxhash64("_item"), F.lit(slices)) == k).collect())  # about slice_bytes
-        index = build_index(docs, part, id_col, text_col, dimensions, most_sample, least_cosine, owner)
+        index = build_index(docs, part, text_col, dimensions, least_cosine, owner)
         if index is None:
             continue
         text = [text_col] if text_col not in carried and k < slices - 1 else []
