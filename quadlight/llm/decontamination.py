@@ -94,6 +94,8 @@ class Index:
         small = len(self.numbers) <= MOST_BITS
         self.masks = [sum(1 << t for t in terms) for terms in self.terms] if small else None
         self.spare = [len(t) - math.ceil(self.least_lcs * len(t) - 1e-9) for t in self.texts]
+        self.sizes = np.array([len(t) for t in self.terms])
+        self.flat = np.concatenate([np.fromiter(t, np.int64, len(t)) for t in self.terms])
 
     def present(self, region: np.ndarray) -> int | set[int]:
         """The terms of a region, for ``holds``."""
@@ -109,6 +111,25 @@ class Index:
         missing = len(self.terms[item] - there) if self.masks is None else (self.masks[item] & ~there).bit_count()
         return missing <= self.spare[item]
 
+    def held(self, text: np.ndarray, first: np.ndarray, after: np.ndarray, window: np.ndarray, items: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """``holds`` for pairs of an item and a window, whose words go from ``first`` to ``after`` in ``text``.
+        Pairs are in the order of their windows, which are taken as many at a time as stay near ``most`` cells."""
+        width, sizes, spare = len(self.numbers) + 1, self.sizes[items], np.array(self.spare)[items]
+        begin = (np.cumsum(self.sizes) - self.sizes)[items]
+        pairs = np.searchsorted(window, np.arange(len(first) + 1))
+        cells = np.cumsum(after - first + width + np.bincount(window, sizes, len(first)).astype(np.int64))
+        cuts = [*np.flatnonzero(np.diff(cells // most, prepend=-1)).tolist(), len(first)]
+        out = np.empty(len(items), bool)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            flags = np.zeros((b - a, width), bool)
+            length = after[a:b] - first[a:b]
+            flags[np.repeat(np.arange(b - a), length), text[_ranges(first[a:b], length)]] = True  # -1, for other words, is the last
+            these = slice(pairs[a], pairs[b])
+            size = sizes[these]
+            there = flags[np.repeat(window[these] - a, size), self.flat[_ranges(begin[these], size)]]
+            out[these] = size - np.add.reduceat(there, np.cumsum(size) - size, dtype=np.int64) <= spare[these]
+        return out
+
     def size(self, item: int) -> int:
         return len(self.texts[item])
 
@@ -133,6 +154,11 @@ class Index:
         return (share, answered) if share >= self.sure_lcs or answered >= self.least_answer else None
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` numbers from each ``start`` on."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
@@ -158,12 +184,13 @@ def candidates(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int,
     for width, step, own in ((WINDOW, STEP, np.flatnonzero(~short)), (SHORT_WINDOW, SHORT_STEP, np.flatnonzero(short))):
         if len(own):
             use = (place - first[owner]) % step == 0
-            yield from _near(index, docs, first, sums, place[use], owner[use], width, own)
+            yield from _near(index, docs, first, cells, sums, place[use], owner[use], width, own)
 
 
-def _near(index: Index, docs: list[np.ndarray], first: np.ndarray, sums: np.ndarray, at: np.ndarray, doc: np.ndarray, width: int, own: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+def _near(index: Index, docs: list[np.ndarray], first: np.ndarray, cells: np.ndarray, sums: np.ndarray, at: np.ndarray, doc: np.ndarray, width: int, own: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
     """The candidates among the items ``own`` in windows of ``width`` blocks that begin at the blocks ``at``."""
-    vectors, reaches = index.vectors[own].T, [index.reach(k) for k in range(len(index.texts))]
+    vectors, reaches = index.vectors[own].T, np.array([index.reach(k) for k in range(len(index.texts))])
+    sizes = np.array([len(d) for d in docs])
     for lo in range(0, len(at), 1 << 13):
         here, mine = at[lo : lo + (1 << 13)], doc[lo : lo + (1 << 13)]
         w = sums[here]
@@ -172,19 +199,19 @@ def _near(index: Index, docs: list[np.ndarray], first: np.ndarray, sums: np.ndar
         some = np.flatnonzero(w.any(axis=1))
         near = _unit(w[some]) @ vectors
         window, items = np.nonzero(near >= index.least_cosine)
-        cosines = near[window, items].tolist()
-        cuts = np.flatnonzero(np.diff(window, prepend=-1, append=-1)).tolist()
-        items = own[items].tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):  # the items near a window
-            i = some[window[a]]
-            d = int(mine[i])
-            start = int(here[i] - first[d]) * BLOCK
-            end = min(start + width * BLOCK, len(docs[d]))
-            reach = max(map(reaches.__getitem__, items[a:b]))
-            there = index.present(docs[d][max(0, start - reach) : end + reach])
-            for k in range(a, b):
-                if index.holds(items[k], there):
-                    yield d, start, end, items[k], cosines[k]
+        if not len(window):
+            continue
+        cosines, items = near[window, items], own[items]
+        cuts = np.flatnonzero(np.diff(window, prepend=-1))  # the items near a window
+        where = some[window[cuts]]
+        d = mine[where]
+        start = (here[where] - first[d]) * BLOCK
+        end = np.minimum(start + width * BLOCK, sizes[d])
+        reach, begin = np.maximum.reduceat(reaches[items], cuts), first[d] * BLOCK
+        number = np.repeat(np.arange(len(cuts)), np.diff(cuts, append=len(window)))
+        held = np.flatnonzero(index.held(cells.reshape(-1), begin + np.maximum(0, start - reach), begin + np.minimum(end + reach, sizes[d]), number, items))
+        n = number[held]
+        yield from zip(d[n].tolist(), start[n].tolist(), end[n].tolist(), items[held].tolist(), cosines[held].tolist(), strict=True)
 
 
 def leaks(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
@@ -260,7 +287,7 @@ def _run_sums(rows: np.ndarray, at: np.ndarray, sizes: np.ndarray, most: int = 3
     at most ``most``, and pieces are summed side by side, then the pieces of a run: faster than reduceat."""
     pieces, ends = -(-sizes // most), np.cumsum(sizes)
     first = np.cumsum(pieces) - pieces
-    start = np.repeat(ends - sizes, pieces) + most * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+    start = np.repeat(ends - sizes, pieces) + most * _ranges(np.zeros_like(pieces), pieces)
     length = np.minimum(most, np.repeat(ends, pieces) - start)
     order = np.argsort(-length, kind="stable")
     out = np.empty((len(start), rows.shape[1]), rows.dtype)

@@ -121,6 +121,21 @@ def test_sets_of_terms_as_numbers(monkeypatch):
         assert [small.holds(i, a) for i in range(20)] == [large.holds(i, b) for i in range(20)]
 
 
+def test_windows_that_hold_items():
+    """The windows and items that ``holds`` allows one at a time, however many are looked at together."""
+    rng = np.random.default_rng(37)
+    texts = [rng.integers(0, 60, int(rng.integers(1, 30))).tolist() for _ in range(20)]
+    index = decontamination.Index(list(range(20)), texts, texts, {b"w%d" % i: i for i in range(60)}, np.ones(60), np.zeros((60, 2)), np.zeros((20, 2)), 0.5)
+    text = rng.integers(-1, 60, 500)
+    first = rng.integers(0, 450, 80)
+    after = first + rng.integers(0, 50, 80)
+    window, items = np.nonzero(rng.random((80, 20)) < 0.4)
+    want = [index.holds(i, index.present(text[first[w] : after[w]])) for w, i in zip(window, items.tolist(), strict=True)]
+    assert 0 < sum(want) < len(want)
+    for most in (1, 700, 1 << 20):
+        assert index.held(text, first, after, window, items, most).tolist() == want
+
+
 def test_leaks_by_brute_force(spark, capsys):
     """Verbatim items, items with words exchanged, left out and put in, and items cut at the end of a document; items of
     5 to 60 words. Recall against brute force, and nothing beyond it."""
