@@ -2,6 +2,7 @@
 
 import os
 
+from quadlight import terms as T
 from quadlight.engine import query, update
 from quadlight.queries import PREFIXES, mapped
 from quadlight.sources.dataset import Dataset
@@ -47,3 +48,18 @@ def test_update_of_mapped_properties(spark):
         assert sorted(map(str, query(asked, after, terms=True, prefixes=PREFIXES).collect())) == sorted(map(str, query(asked, whole, terms=True, prefixes=PREFIXES).collect()))
     for gone in ("CLEAR DEFAULT", "DROP ALL", "CLEAR GRAPH g:1", "COPY g:1 TO DEFAULT", "ADD DEFAULT TO g:2", "DELETE WHERE { ?s ?p 5 }", "DELETE WHERE { ?s :v ?v }"):
         assert quads(update(gone, after, prefixes=PREFIXES)) == quads(update(gone, whole, prefixes=PREFIXES)), gone
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mapped_and_boxed_terms_join_by_equality(spark):
+    asked = query("SELECT ?c ?x WHERE { ?c (:nation|:region)+ ?x . ?c a :Supplier }", mapped(spark, SF), prefixes=PREFIXES)
+    joins = [line for line in plan(asked).splitlines() if "Join " in line]
+    assert joins and all(" = " in line and "<=>" not in line for line in joins), joins
+    # Terms with a language or a datatype hold NULL fields on one side or the other.
+    words = spark.createDataFrame([("a", 1), (None, 2)], "w string, i bigint")
+    data = update("INSERT DATA { e:x e:of 'a' , 'a'@en , 1 , '1' , <urn:a> }", Dataset(spark, tables=(table("word", words, "i", {"w": ("w", "string"), "i": ("i", "integer")}),)), prefixes=PREFIXES)
+    assert [r["o"] for r in query("SELECT ?o WHERE { ?t :w ?o . e:x e:of ?o }", data, prefixes=PREFIXES).collect()] == ["a"]
+    assert [tuple(r["o"]) for r in query("SELECT ?o WHERE { ?t :i ?o . e:x e:of ?o }", data, terms=True, prefixes=PREFIXES).collect()] == [(T.LITERAL, "1", None, T.XSD + "integer")]
