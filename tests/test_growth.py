@@ -86,14 +86,21 @@ PAIRS = {
 
 
 def test_exists_keeps_no_pairs(spark, monkeypatch):
-    data, counts, kept = few_nations(spark), [], C.semi_join
+    data, counts, semi_join, left_join = few_nations(spark), [], C.semi_join, C.left_join
 
-    def counted(a, b, *rest):
+    def semi(a, b, *rest):
         counts.append(b.df.count())
-        return kept(a, b, *rest)
+        return semi_join(a, b, *rest)
 
-    monkeypatch.setattr(C, "semi_join", counted)
-    for name, text in PAIRS.items():
+    def left(*args):
+        out = left_join(*args)
+        counts.append(out.df.count())
+        return out
+
+    monkeypatch.setattr(C, "semi_join", semi)
+    monkeypatch.setattr(C, "left_join", left)
+    longer = PAIRS["optional"].replace("> STRLEN(?t)", "> STRLEN(?t) - 5")
+    for name, text in {"longer": longer, **PAIRS}.items():
         counts.clear()
         query(f"SELECT ?x WHERE {{ {text} }}", data, prefixes=PREFIXES)
         assert counts and max(counts) <= 600, (name, counts)
